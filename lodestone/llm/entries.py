@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeds, licenses, lines, mixing, quality, simhash, tokens, urls
+from . import bpe, embeds, licenses, lines, mixing, quality, simhash, substrings, tokens, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeds.near_vectors(table(spark, sf_dir, "embeddings"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, ascii_lower, cut
+from .common import BLANK_CHARS, ascii_lower, cut, stored
 
 #: Bits of a filter for each key, and the most bits: 2**29, so 64 MB are broadcast at most. Beyond that more lines are suspected and confirmed exactly.
 BITS_PER_KEY = 16
@@ -121,7 +121,7 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_chars: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     suspected = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))).mapInArrow(suspects, f"doc_id {kind}, key string")
-    suspected = cut(suspected)
+    suspected = stored(suspected)
     repeated = suspected.groupBy("key").agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= least_docs)
     drops = suspected.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
     drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
