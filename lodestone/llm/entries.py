@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeds, licenses, lines, mixing, quality, simhash, substrings, tokens, urls
+from . import bpe, embeds, licenses, lines, mixing, quality, simhash, sql, substrings, tokens, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,7 +23,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    out = urls.judge(table(spark, sf_dir, "pages"))
+    return out.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
