@@ -230,7 +230,7 @@ def update(name: str, table: str, target: dict, spec: dict, sql: str, prepare=No
 _TAGS = lambda df: df.select("n_nationkey", F.array(F.col("n_regionkey"), F.lit(7).cast("long"), F.col("n_regionkey")).alias("tags"))
 _JOIN = lambda df: df.select("n_nationkey", F.array_join(F.transform("tags", lambda x: x.cast("string")), ",").alias("tags"))
 _R = "n_regionkey::VARCHAR"
-update("update_set", "customer", {"c_acctbal": {"$lt": 0}}, {"$set": {"c_mktsegment": "DEBT", "flag": True}}, "SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment), CASE WHEN c_acctbal < 0 THEN true END AS flag FROM customer")
+update("update_set", "customer", {"c_acctbal": {"$lt": 0}}, {"$set": {"c_mktsegment": "DEBT", "flag": "owes"}}, "SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment), CASE WHEN c_acctbal < 0 THEN 'owes' END AS flag FROM customer")
 update("update_unset", "customer", {"c_custkey": {"$lte": 10}}, {"$unset": {"c_name": True}}, "SELECT * REPLACE (CASE WHEN c_custkey <= 10 THEN NULL ELSE c_name END AS c_name) FROM customer")
 update("update_inc", "nation", {"n_nationkey": {"$gt": 3}}, {"$inc": {"n_regionkey": 5}}, "SELECT n_nationkey, (CASE WHEN n_nationkey > 3 THEN n_regionkey + 5 ELSE n_regionkey END)::BIGINT AS n_regionkey FROM nation", shape=lambda df: df.select("n_nationkey", F.col("n_regionkey").cast("long").alias("n_regionkey")))
 update("update_push", "nation", {}, {"$push": {"tags": {"$each": [9], "$position": 1}}}, f"SELECT n_nationkey, {_R} || ',9,7,' || {_R} AS tags FROM nation", _TAGS, _JOIN)
