@@ -128,22 +128,34 @@ def _new_value(op: str, operand: object, c: Column | None, kind: T.DataType | No
     return F.filter(c, lambda x: ~F.coalesce(compare("$eq", x, kind.elementType, v), F.lit(False)))
 
 
-def _patched(c: Column | None, kind: T.DataType | None, tree: dict) -> Column | None:
-    """An object after the operators in the tree: name -> (operator, operand) or another tree."""
+def _patched(c: Column | None, kind: T.DataType | None, tree: dict, target: Column) -> Column | None:
+    """An object after the operators in the tree: name -> (operator, operand) or another tree.
+
+    Rows outside the target keep their values; fields that the update creates
+    are null there, as a typed column has one shape.
+    """
     if kind is not None and not isinstance(kind, T.StructType):
         fail("TYPE_MISMATCH", "a path steps through a value that is no object")
     old = {f.name: f.dataType for f in kind} if kind is not None else {}
     parts = []
     for name in [*old, *(n for n in tree if n not in old)]:
         here, its = (c.getField(name), old[name]) if name in old else (None, None)
-        if name not in tree:
-            parts.append(here.alias(name))
-            continue
-        node = tree[name]
-        new = _patched(here, its, node) if isinstance(node, dict) else _new_value(*node, here, its)
+        new = here if name not in tree else _field_after(tree[name], here, its, target)
         if new is not None:
             parts.append(new.alias(name))
-    return F.struct(*parts) if parts else None
+    if not parts:
+        return None
+    return F.struct(*parts) if c is None else F.when(c.isNotNull() | target, F.struct(*parts))
+
+
+def _field_after(node, old: Column | None, kind: T.DataType | None, target: Column) -> Column | None:
+    if isinstance(node, dict):
+        new = _patched(old, kind, node, target)
+        return F.when(target, new) if old is None and new is not None else new
+    new = _new_value(*node, old, kind)
+    if old is None:
+        return None if new is None else F.when(target, new)
+    return F.when(target, F.lit(None).cast(kind) if new is None else new).otherwise(old)
 
 
 def post_image(df: DataFrame, update: object, target: Column, ids: tuple[str, ...] = ("_id",), inserting: bool = False) -> DataFrame:
@@ -161,11 +173,7 @@ def post_image(df: DataFrame, update: object, target: Column, ids: tuple[str, ..
         if name not in tree:
             out.append(old)
             continue
-        kind, node = (df.schema[name].dataType if old is not None else None), tree[name]
-        new = _patched(old, kind, node) if isinstance(node, dict) else _new_value(*node, old, kind)
-        if old is None and new is None:
-            continue
-        if new is None:
-            new = F.lit(None).cast(kind)
-        out.append((F.when(target, new).otherwise(old) if old is not None else F.when(target, new)).alias(name))
+        new = _field_after(tree[name], old, df.schema[name].dataType if old is not None else None, target)
+        if new is not None:
+            out.append(new.alias(name))
     return df.select(*out)
