@@ -276,3 +276,28 @@ def upsert_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (90, 'a'), (91, 'b')) t")
 def insert_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, "region", {"insertMany": "region", "documents": [{"r_regionkey": 90, "r_name": "a"}, {"r_regionkey": 91, "r_name": "b"}]}).select("r_regionkey", "r_name")
+
+
+# -- documents -------------------------------------------------------------------
+
+
+@query("SELECT 2::TINYINT AS name_st, c_name AS name_v, 0::TINYINT AS gone_st FROM customer")
+def document_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import tagged
+
+    docs = tagged.import_documents(tagged.export_documents(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey"))
+    out = tagged.with_sidecar(tagged.with_sidecar(docs, "c_name", "string", "name"), "gone", "int64", "gone")
+    return out.select(F.col("name__st").alias("name_st"), F.col("name__v").alias("name_v"), F.col("gone__st").alias("gone_st"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS at FROM customer")
+def value_order_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the order of the binary keys of a field's dynamic values."""
+    from pyspark.sql import Window as W
+
+    from .functions import tagged
+
+    docs = tagged.export_documents(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey")
+    keyed = tagged.with_sidecar(tagged.with_sidecar(docs, "_id", "int64", "id"), "c_acctbal", "float64", "bal")
+    at = F.row_number().over(W.orderBy("bal__key", "id__key")).cast("long")
+    return keyed.select(F.col("id__v").alias("c_custkey"), at.alias("at"))
