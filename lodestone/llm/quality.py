@@ -13,8 +13,9 @@ from .common import BLANK, BLANK_CHARS, bind, words
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
-#: Line rules. A line with words fails if its last sign is none of these,
+#: Line rules. A line with words fails if its last sign is none of these and it isn't a longer one with a sentence's end inside,
 ENDINGS = ".!?:;,…。！？։؟।'\"”’»)]"
+INNER_ENDS, INNER_LENGTH = (". ", "! ", "? "), 60
 #: if it is short and closes with a navigation phrase or strings parts together with these marks,
 NAVIGATION_LENGTH = 80
 NAVIGATION = r"(^|[\x20\x09-\x0D])(?i:home|menu|login|sign in|sign up|next page|previous page|read more|click here|share this)[.!]?[\x20\x09-\x0D]*$"
@@ -35,7 +36,8 @@ def line_fails(line: Column) -> Column:
     The costly patterns run only on lines that a plain search lets through.
     """
     end = F.substring(F.rtrim(line, F.lit(BLANK_CHARS)), -1, 1)
-    no_end = ~F.contains(F.lit(ENDINGS), end)
+    broken_off = (F.char_length(line) >= INNER_LENGTH) & reduce(or_, (F.contains(line, F.lit(x)) for x in INNER_ENDS))
+    no_end = ~F.contains(F.lit(ENDINGS), end) & ~broken_off
     marked = reduce(or_, (F.contains(line, F.lit(c)) for c in ["!!", *"#*$%&|<>"]))
     odd = F.when(marked, F.regexp_count(line, F.lit(SYMBOL_WORD)) >= SYMBOL_SHARE * F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(False)
     short = F.char_length(line) <= NAVIGATION_LENGTH

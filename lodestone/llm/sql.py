@@ -15,6 +15,7 @@ def _quoted(text: str) -> str:
 
 def quality_rules() -> str:
     stock = " OR ".join(f"contains(lower(line), {_quoted(p)})" for p in quality.BOILERPLATE)
+    inner = " OR ".join(f"contains(line, {_quoted(x)})" for x in quality.INNER_ENDS)
     return f"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -31,7 +32,7 @@ lines AS (
   SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{_WORD}')),
 judged AS (
   SELECT r, line, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
-    (NOT contains({_quoted(quality.ENDINGS)}, right(rtrim(line, {_BLANKS}), 1)))
+    (NOT contains({_quoted(quality.ENDINGS)}, right(rtrim(line, {_BLANKS}), 1)) AND NOT (length(line) >= {quality.INNER_LENGTH} AND ({inner})))
     OR (regexp_matches(line, '[#*$%&|<>]|!!') AND len(regexp_extract_all(line, {_quoted(quality.SYMBOL_WORD)})) >= {quality.SYMBOL_SHARE} * len(regexp_extract_all(line, '{_WORD}+')))
     OR (length(line) <= {quality.NAVIGATION_LENGTH} AND (regexp_matches(line, {_quoted(quality.NAVIGATION)}) OR regexp_matches(line, {_quoted("^" + quality.MARKS)})))
     OR (length(line) <= {quality.BOILERPLATE_LENGTH} AND ({stock})) AS fails
