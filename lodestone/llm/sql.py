@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, urls
+from . import embeds, licenses, quality, urls
 
 _WORD = r"[^\x20\x09-\x0D]"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -120,5 +120,21 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust >= {urls.BL
 FROM ruled JOIN scaled USING (host)"""
 
 
+def embedding_near_dedup() -> str:
+    """All pairs of a label; the operator's tables miss none of them where near vectors have near codes."""
+    return f"""
+WITH RECURSIVE
+seen AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS (SELECT * FROM seen WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= {embeds.THRESHOLD}),
+reach AS (SELECT r, vec_id AS least FROM seen UNION SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT r, min(least) AS component_id FROM reach GROUP BY r),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM seen JOIN least USING (r) LEFT JOIN counts USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules(), "op2_url_filters": url_filters(), "op5_line_dedup": line_dedup(), "op7_license_scans": license_scans()}
+    return {"op1_quality_rules": quality_rules(), "op2_url_filters": url_filters(), "op5_line_dedup": line_dedup(), "op7_license_scans": license_scans(), "op9_embedding_near_dedup": embedding_near_dedup()}
