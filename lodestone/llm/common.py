@@ -40,13 +40,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: A checkpoint has so many files for each core of the cluster at most.
+FILES_PER_CORE = 3
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, stored in the shared folder, without its lineage."""
+    """df, stored in the shared folder, without its lineage.
+
+    A partition becomes a file, and creating files costs more than the small
+    tables that are cut here; partitions beyond FILES_PER_CORE for each core
+    are read one after the other by one task, which streams them.
+    """
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
