@@ -301,3 +301,27 @@ def value_order_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = tagged.with_sidecar(tagged.with_sidecar(docs, "_id", "int64", "id"), "c_acctbal", "float64", "bal")
     at = F.row_number().over(W.orderBy("bal__key", "id__key")).cast("long")
     return keyed.select(F.col("id__v").alias("c_custkey"), at.alias("at"))
+
+
+# -- conversions -----------------------------------------------------------------
+
+
+@query("SELECT event_id, ts AS at, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, NULL::TIMESTAMP AS bad FROM events")
+def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import convert
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    at = convert.parse_timestamp(text)
+    bad = convert.parse_timestamp(F.regexp_replace(text, "Z$", "-00:00"))
+    return events.select("event_id", at.cast("timestamp_ntz").alias("at"), convert.to_date(F.col("ts")).cast("string").alias("day"), bad.cast("timestamp_ntz").alias("bad"))
+
+
+@query("SELECT o_orderkey, o_orderkey::DOUBLE AS exact, CAST(round_even(o_totalprice, 0) AS BIGINT) AS rounded FROM orders")
+def numeric_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import convert
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    kind = lambda c: orders.schema[c].dataType
+    exact = convert.convert(F.col("o_orderkey"), kind("o_orderkey"), "float64")
+    return orders.select("o_orderkey", exact.alias("exact"), convert.convert(F.col("o_totalprice"), kind("o_totalprice"), "int64", "round").alias("rounded"))

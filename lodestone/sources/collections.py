@@ -68,11 +68,11 @@ class Database:
             return 0
         return max([int(s.getPath().getName()) for s in fs.listStatus(path)], default=0)
 
-    def _commit(self, name: str, df: DataFrame, base: int | None = None) -> None:
+    def _commit(self, name: str, df: DataFrame, base: int | None = None, options: dict[str, str] | None = None) -> None:
         """Write the next snapshot and publish it by creating its pointer, which only one writer can."""
         at = (self.version(name) if base is None else base) + 1
         data = f"{self.folders[name]}/v{at:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(data)
+        df.write.options(**(options or {})).parquet(data)
         fs, pointer = self._file(self.folders[name], f"published/{at:08d}")
         try:
             out = fs.create(pointer, False)
@@ -182,14 +182,12 @@ class Database:
         if not matched and command.get("upsert"):
             return self._upsert(name, source, command)
         after = updates.post_image(source.df, command["update"], target, source.id)
-        changed = [~F.col(f"`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in after.columns if c in source.df.columns]
         modified = 0
         if matched:
             (key,) = source.id
             both = after.where(target).alias("n").join(source.df.alias("o"), F.col(f"n.`{key}`").eqNullSafe(F.col(f"o.`{key}`")))
             added = [F.col(f"n.`{c}`").isNotNull() for c in after.columns if c not in source.df.columns]
             tests = [~F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in after.columns if c in source.df.columns] + added
-            del changed
             cond = tests[0]
             for t in tests[1:]:
                 cond = cond | t
@@ -270,6 +268,19 @@ class Database:
             self.tables[name] = finding.Source(source.df, source.id, path, source.now)
         return {"acknowledged": True, "index": entry}
 
+    def cluster(self, name: str, *keys: str, bloom: bool = True) -> None:
+        """A new snapshot in the order of keys, so that row groups' bounds, and Bloom filters for equality, prune scans of them."""
+        source = self.source(name)
+        df = source.df.repartitionByRange(*(F.col(f"`{k}`") for k in keys)).sortWithinPartitions(*(F.col(f"`{k}`") for k in keys))
+        self._commit(name, df, options={f"parquet.bloom.filter.enabled#{k}": "true" for k in keys} if bloom else {})
+
+    def export(self, name: str, folder: str) -> None:
+        """The pinned snapshot as typed JSON text, a document a line."""
+        from ..functions.tagged import export_documents
+
+        source = self.source(name)
+        export_documents(source.visible(), source.id[0]).write.text(folder)
+
     def cursor(self, command: dict, batch: int = 1000) -> Iterator[list[Row]]:
         """find's rows in batches of a pinned snapshot; they add up to the one-shot result."""
         limits.check("batch.items", batch)

@@ -61,3 +61,44 @@ def test_change_log(spark, tmp_path):
     query = changes.follow(db, "c", stream, str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [tuple(r) for r in db.run({"find": "c"}).collect()] == [(1, "y"), (3, "n")]
+
+
+def test_operations():
+    from lodestone.functions import operations as O
+
+    doc = V.literal({"a": [{"b": 1}, {"b": 2}, 5, [{"b": 9}]], "n": None})
+    path = V.literal
+    assert O.run("path.resolve", doc, path("a.b"), fanout=True) == V.literal([1, 2])
+    assert O.run("path.resolve", doc, path("a.0.b")) == V.literal(1) and O.run("path.resolve", doc, path("z")) == V.MISSING
+    assert O.run("path.exists", doc, path("n")) and not O.run("path.exists", doc, path("n.x"))
+    assert O.run("array.all", V.literal([1, 2.0, None]), V.literal([2, None])) and O.run("array.size", V.literal([1])) == 1
+    assert O.run("string.contains", V.literal("héllo"), V.literal("él")) and O.run("value.compare", V.literal(1), V.literal("a")) == -1
+    assert O.run("vector.distance", V.vector((1.0, 0.0)), V.vector((0.0, 1.0)), metric="l2") == 2**0.5
+    assert O.content_hash(V.literal({"a": 1, "b": {"c": 2, "d": 3}})) == O.content_hash(V.literal({"b": {"d": 3, "c": 2}, "a": 1})) != O.content_hash(V.literal({"a": 1.0, "b": {"c": 2, "d": 3}}))
+    for args in (("path.resolve", doc, path("a.b")), ("nope",), ("array.size",), ("array.size", V.literal(1))):
+        with pytest.raises(EngineError):
+            O.run(*args)
+
+
+def test_conversions(spark):
+    from lodestone.functions import convert as C
+
+    df = spark.createDataFrame([(1, 2.5, "2024-01-01T00:30:00+01:00"), (2**53 + 2, 3.5, "2024-01-01T00:00:00-00:00"), (None, None, None)], "n long, x double, t string")
+    t = df.schema
+    got = df.select(C.convert(df.n, t["n"].dataType, "float64").alias("f"), C.convert(df.x, t["x"].dataType, "int32", "round").alias("i"), C.parse_timestamp(df.t).cast("long").alias("t")).collect()
+    assert [tuple(r) for r in got] == [(1.0, 2, 1704065400), (float(2**53 + 2), 4, None), (None, None, None)]
+    for c, kind, to, mode in ((F.lit(2**53 + 1), "n", "float64", "exact"), (F.lit(2.5), "x", "int64", "exact"), (F.lit(1e30), "x", "int64", "round"), (F.lit(2**40), "n", "int32", "exact")):
+        with pytest.raises(Exception, match="TYPE_"):
+            df.select(C.convert(c, t[kind].dataType, to, mode)).collect()
+    vectors = spark.createDataFrame([([0.1, 2.0],), (None,)], "v array<float>")
+    assert vectors.select(C.to_f16("v").alias("h")).first().h == [pytest.approx(0.0999755859375), 2.0]
+
+
+def test_cluster_and_export(spark, tmp_path):
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.range(100).selectExpr("id AS _id", "id % 7 AS g"))
+    db.cluster("c", "g")
+    assert db.version("c") == 2 and db.run({"count": "c", "filter": {"g": 3}}).first().n == 14
+    db.export("c", str(tmp_path / "out"))
+    docs = tagged.import_documents(spark.read.text(str(tmp_path / "out")).withColumnRenamed("value", "doc"))
+    assert docs.where("error is null").count() == 100
