@@ -102,3 +102,13 @@ def test_cluster_and_export(spark, tmp_path):
     db.export("c", str(tmp_path / "out"))
     docs = tagged.import_documents(spark.read.text(str(tmp_path / "out")).withColumnRenamed("value", "doc"))
     assert docs.where("error is null").count() == 100
+
+
+def test_row_errors_become_engine_errors(spark):
+    from lodestone.errors import CATEGORY, from_spark
+
+    df = spark.range(1).select(F.raise_error(F.lit("TYPE_MISMATCH")).cast("long").alias("x"))
+    with pytest.raises(Exception) as e:
+        df.collect()
+    assert from_spark(e.value).code == "TYPE_MISMATCH" and CATEGORY["DUR_IO"] == "durability"
+    assert from_spark(ValueError("x")).args == ("x",)
