@@ -40,6 +40,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def beside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs as the used columns and a struct of the rest, and what brings all columns back in order under their own names."""
+    rest = [c for c in docs.columns if c not in used]
+    packed = docs.select(*used, F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_rest"))
+    return packed, [F.col(f"`{c}`") if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns]
+
+
 #: A checkpoint has so many files for each core of the cluster at most.
 FILES_PER_CORE = 3
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, ascii_lower, cut, stored
+from .common import BLANK_CHARS, ascii_lower, beside, cut, stored
 
 #: Bits of a filter for each key, and the most bits: 2**29, so 64 MB are broadcast at most. Beyond that more lines are suspected and confirmed exactly.
 BITS_PER_KEY = 16
@@ -135,7 +135,9 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_chars: int =
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without repeated lines, in its columns; n_chars, where there is one, follows the text. Null texts stay null."""
-    out = drop_repeated_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
-    if "n_chars" in docs.columns:
+    used = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    packed, back = beside(docs, *used)
+    out = drop_repeated_lines(packed).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    if "n_chars" in used:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)

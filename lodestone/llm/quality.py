@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, BLANK_CHARS, bind, words
+from .common import BLANK, BLANK_CHARS, beside, bind, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -120,7 +120,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept documents, without their failed lines, in the columns of docs; n_chars, where there is one, follows the text."""
-    out = judge(docs).where("kept").withColumn("text", F.col("cleaned_text"))
-    if "n_chars" in docs.columns:
+    used = [c for c in ("text", "n_chars") if c in docs.columns]
+    packed, back = beside(docs, *used)
+    out = judge(packed).where("kept").withColumn("text", F.col("cleaned_text"))
+    if "n_chars" in used:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*back)

@@ -449,3 +449,14 @@ def test_pipeline_stages(spark, docs, nothing, tmp_path, library):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in now.collect()) == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "source_mixing", "bpe_round_trip"]
+
+
+def test_stages_keep_clashing_columns(spark, rows):
+    """Columns of the documents that are named like an operator's own come through unchanged."""
+    from pyspark.sql import functions as F
+
+    extra = spark.createDataFrame(rows, COLUMNS).withColumn("kept", F.lit("mine")).withColumn("n_lines", F.lit("yours"))
+    for stage in (quality.cleaned, lines.deduplicated, simhash.first_of_each, mixing.mixed):
+        out = stage(extra)
+        assert out.columns == extra.columns
+        assert {(r.kept, r.n_lines) for r in out.select("kept", "n_lines").distinct().collect()} == {("mine", "yours")}, stage
