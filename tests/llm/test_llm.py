@@ -432,6 +432,14 @@ def test_chains_follow_gaps():
     assert (0, 1, 2, 3) in got and (4,) in got and (5,) in got
 
 
+def test_far_passage_hides_no_near_match():
+    """300 common words, 100 unlike ones, then 80 words with 2 inserted: the last stay one chain."""
+    x = np.concatenate([np.arange(0, 300, 8), np.arange(400, 480, 8)])
+    y = np.where(x < 440, x, x + 2)
+    late = set(np.flatnonzero(x >= 400).tolist())
+    assert sum(bool(late & set(c)) for c in substrings.chains(x, y)) == 1
+
+
 def test_pipeline_stages(spark, docs, nothing, tmp_path, library):
     """Every stage on what its predecessor kept, then run() on a table."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
