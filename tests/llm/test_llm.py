@@ -432,6 +432,17 @@ def test_chains_follow_gaps():
     assert (0, 1, 2, 3) in got and (4,) in got and (5,) in got
 
 
+def test_passages_between_partial_holders(spark):
+    """Documents 3 and 4 hold a passage of which the first and the last holders of any seed have too few words; 9 holds one twice."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    p, twice = fresh(60), fresh(70)
+    held = {1: p[:35], 2: p[25:], 3: p, 4: p, 5: p[:35], 6: p[25:], 8: twice, 9: twice + fresh(90) + twice}
+    df = spark.createDataFrame([(k, " ".join(fresh(40) + v + fresh(40))) for k, v in held.items()], "doc_id long, text string")
+    out = substrings.shared_passages(df).collect()
+    assert {(r.doc_id, r.other_id, r.start, r.end) for r in out} == {(4, 3, 40, 100), (9, 8, 40, 110), (9, 8, 200, 270)}
+
+
 def test_far_passage_hides_no_near_match():
     """300 common words, 100 unlike ones, then 80 words with 2 inserted: the last stay one chain."""
     x = np.concatenate([np.arange(0, 300, 8), np.arange(400, 480, 8)])
