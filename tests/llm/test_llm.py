@@ -443,6 +443,24 @@ def test_passages_between_partial_holders(spark):
     assert {(r.doc_id, r.other_id, r.start, r.end) for r in out} == {(4, 3, 40, 100), (9, 8, 40, 110), (9, 8, 200, 270)}
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Passages at and near the operator's threshold, 100 of a kind: share of changed words, least share that has to be found."""
+    rng = random.Random(17)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    kinds, rows = ((52, 5, 0.97), (52, 8, 0.95), (50, 10, 0.9), (80, 12, 0.97)), []
+    for k, (n, changed, _) in enumerate(kinds):
+        for i in range(100):
+            p = fresh(n)
+            q = list(p)
+            for at in rng.sample(range(n), changed):
+                q[at] = fresh(1)[0]
+            rows += [(1000 * k + 2 * i + j, " ".join(fresh(40) + v + fresh(40))) for j, v in enumerate((p, q))]
+    out = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter(r.doc_id // 1000 for r in out if r.doc_id == r.other_id + 1)
+    shares = [got[k] / 100 for k in range(len(kinds))]
+    assert all(share >= least for share, (_, _, least) in zip(shares, kinds, strict=True)), shares
+
+
 def test_far_passage_hides_no_near_match():
     """300 common words, 100 unlike ones, then 80 words with 2 inserted: the last stay one chain."""
     x = np.concatenate([np.arange(0, 300, 8), np.arange(400, 480, 8)])
