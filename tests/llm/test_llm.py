@@ -399,6 +399,24 @@ def test_embeddings(spark):
     assert embeds.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.4, 0.6])
+def test_borderline_embeddings(spark, mean):
+    """Pairs of cosine 0.93 to 0.94 among vectors whose cosine is `mean` on average, against all pairs."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    common = unit(rng.standard_normal((1, 64)))
+    base = unit(np.sqrt(mean) * common + np.sqrt(1 - mean) * unit(rng.standard_normal((1000, 64))))
+    noise = rng.standard_normal((1000, 64))
+    noise = noise - (noise * base).sum(1, keepdims=True) * base
+    c = 0.935
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * unit(noise)])
+    near = x @ x.T >= embeds.THRESHOLD
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sum(r.n_links for r in embeds.near_vectors(df).collect())
+    assert near.sum() >= got >= 0.9 * near.sum()
+
+
 def test_rotation_is_orthogonal():
     x = np.random.default_rng(0).standard_normal((500, 12))
     _, p = embeds.learn_rotation(x, 8)
