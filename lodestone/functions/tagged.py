@@ -194,28 +194,41 @@ _SIDECAR = {"int64": ("bigint", ("int32", "int64")), "float64": ("double", ("flo
 
 
 def with_sidecar(docs: DataFrame, path: str, kind: str, name: str | None = None) -> DataFrame:
-    """docs (with doc) and, for one path, name__st (missing, null, typed or other) and name__v, so that missing and null stay apart.
+    return with_sidecars(docs, {path: (kind, name or path.replace(".", "_"))})
 
-    Filters on the pair compile to plain comparisons that Parquet can push.
+
+def with_sidecars(docs: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """docs (with doc) and, for each path -> (type, name), name__st (missing, null, typed or other), name__v and name__key, so that missing and null stay apart.
+
+    Each document is parsed once, whatever the number of paths. Filters on the
+    pair compile to plain comparisons that Parquet can push.
     """
     from ..paths import parse
 
-    parts, name = parse(path), name or path.replace(".", "_")
-    sql, types = _SIDECAR.get(kind) or fail("CAP_UNSUPPORTED_FEATURE", kind)
-
-    @F.pandas_udf(f"struct<st:tinyint,v:{sql},key:binary>")
+    plan = []
+    for path, (kind, name) in wanted.items():
+        sql, types = _SIDECAR.get(kind) or fail("CAP_UNSUPPORTED_FEATURE", kind)
+        plan.append((parse(path), kind, sql, types, name))
+
+    def side(root: V.Value, parts: list[str], kind: str, types: tuple) -> tuple:
+        found = candidates(root, parts)
+        if len(found) != 1:
+            return (MISSING if not found else OTHER, None, None)
+        v = found[0]
+        typed = v.type in types
+        x = pd.Timestamp(v.value, unit="us") if typed and kind == "timestamp" else Decimal(v.value) if typed and kind == "decimal128" else v.value
+        return (NULL if v.type == "null" else TYPED if typed else OTHER, x if typed else None, V.order_key(v))
+
+    @F.pandas_udf("struct<" + ",".join(f"st{k}:tinyint,v{k}:{sql},key{k}:binary" for k, (_, _, sql, _, _) in enumerate(plan)) + ">")
     def resolve(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            found = candidates(V.tagged(json.loads(text)), parts)
-            if len(found) != 1:
-                out.append((MISSING if not found else OTHER, None, None))
-                continue
-            v = found[0]
-            typed = v.type in types
-            x = pd.Timestamp(v.value, unit="us") if typed and kind == "timestamp" else Decimal(v.value) if typed and kind == "decimal128" else v.value
-            out.append((NULL if v.type == "null" else TYPED if typed else OTHER, x if typed else None, V.order_key(v)))
-        frame = pd.DataFrame(out, columns=["st", "v", "key"])
-        return frame.astype({"v": "Int64"}) if kind == "int64" else frame
-
-    return docs.withColumn("__s", resolve("doc")).withColumns({f"{name}__st": F.col("__s.st"), f"{name}__v": F.col("__s.v"), f"{name}__key": F.col("__s.key")}).drop("__s")
+        roots = [V.tagged(json.loads(t)) for t in texts]
+        out = {}
+        for k, (parts, kind, _, types, _) in enumerate(plan):
+            rows = [side(r, parts, kind, types) for r in roots]
+            for j, column in enumerate(("st", "v", "key")):
+                values = pd.Series([r[j] for r in rows], dtype=object)
+                out[f"{column}{k}"] = values.astype("Int64") if kind == "int64" and column == "v" else values
+        return pd.DataFrame(out)
+
+    names = {f"{name}__{part}": F.col(f"__s.{part}{k}") for k, (*_, name) in enumerate(plan) for part in ("st", "v", "key")}
+    return docs.withColumn("__s", resolve("doc")).withColumns(names).drop("__s")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import limits, paths
 from ..errors import fail
+from ..functions import decimals
 from ..functions import values as V
 from . import regex, vectors
 
@@ -54,7 +55,7 @@ def logical_type(kind: T.DataType) -> str:
     if isinstance(kind, T.DateType):
         return "date"
     if isinstance(kind, T.StructType):
-        return "object"
+        return "decimal128" if decimals.is_general(kind) else "object"
     if isinstance(kind, T.ArrayType):
         return "array"
     return "null"
@@ -112,6 +113,10 @@ def _numeric(op: str, c: Column, kind: T.DataType, lit: V.Value) -> Column:
             return _plain(op, c, F.lit(x))
         above = x != x or x > 0
         return {"$eq": F.lit(False), "$lt": c.isNotNull() if above else F.lit(False), "$lte": c.isNotNull() if above else F.lit(False), "$gt": F.lit(False) if above else c.isNotNull(), "$gte": F.lit(False) if above else c.isNotNull()}[op]
+    if decimals.is_general(kind):
+        rank, coefficient, exact = decimals.parts(x)
+        b = decimals.literal(rank, coefficient)
+        return _plain(op, c, b) if exact else {"$eq": F.lit(False), "$gt": c > b, "$gte": c > b, "$lt": c <= b, "$lte": c <= b}[op]
     below = _bound(kind if not isinstance(kind, T.FloatType) else T.DoubleType(), x)
     if below is None:
         return c.isNotNull() if op in ("$gt", "$gte") else F.lit(False)
@@ -136,6 +141,9 @@ def literal_column(kind: T.DataType, lit: V.Value) -> Column | None:
         x = V.exact(lit)
         if isinstance(x, float):
             return F.lit(x).cast(kind) if name == "float64" else None
+        if decimals.is_general(kind):
+            rank, coefficient, exact = decimals.parts(x)
+            return decimals.literal(rank, coefficient) if exact else None
         b = _bound(kind, x)
         return F.lit(b[0]).cast(kind) if b and b[1] else None
     if name == "array" and (lit.type == "array" or lit.type.startswith("vector")):
@@ -163,7 +171,7 @@ def compare(op: str, c: Column, kind: T.DataType, lit: V.Value) -> Column:
     """c op literal on one candidate; false where c is null, unless the literal is, and across types."""
     name = logical_type(kind)
     if lit.type == "null":
-        return c.isNull() if op in ("$eq", "$gte", "$lte") else F.lit(False)
+        return c.isNull() if op == "$eq" else F.lit(False)  # ranges never match null
     if name in V.NUMERIC:
         return _numeric(op, c, kind, lit) if lit.type in V.NUMERIC else F.lit(False)
     other = literal_column(kind, lit)

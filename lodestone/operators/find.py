@@ -29,9 +29,13 @@ class Source:
     def context(self) -> Context:
         return Context(self.df.schema, self.now, self.ttl)
 
+    def expired(self) -> Column:
+        """Whether a row has expired at the pinned time."""
+        return F.lit(False) if self.ttl is None else ttl_state(self.context(), "expired")
+
     def visible(self) -> DataFrame:
         """Rows that have not expired at the pinned time."""
-        return self.df if self.ttl is None else self.df.where(~ttl_state(self.context(), "expired"))
+        return self.df if self.ttl is None else self.df.where(~self.expired())
 
     def with_rows(self, df: DataFrame) -> Source:
         return replace(self, df=df)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from decimal import Decimal
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 
 from .. import limits, paths
 from ..errors import fail
+from ..functions import decimals
 from ..functions import values as V
+from ..sources.folders import stored
 from . import find as finding
 from .filters import compile_filter, literal_column, logical_type
 
@@ -199,6 +202,7 @@ def _project(now: Stream, spec: object) -> Stream:
         finding._sign(v)
     computed = {p: v for p, v in spec.items() if p not in plain}
     off = {p for p, v in plain.items() if not v}
+    late: list[Column] = []
     shape = now.df.select(*(F.col(f"`{n}`") for n in now.schema.names))
     if not computed and off and off >= set(plain) - {"_id"}:
         out = _columns(shape, plain, ())
@@ -208,17 +212,50 @@ def _project(now: Stream, spec: object) -> Stream:
         on = {p: 1 for p, v in plain.items() if v}
         if "_id" in shape.columns and "_id" not in off and "_id" not in on:
             on["_id"] = 1
+        finding._tree(dict.fromkeys((*on, *computed)))  # equal and nested paths are in conflict
         out = _columns(shape, on, ()) if on else []
-        for path in sorted(computed):
-            if "." in path:
-                fail("VAL_UNSUPPORTED_COMBINATION", "computed fields are top-level")
-            V.field_name(path)
-            e = expression(computed[path], now.schema)
-            if e.type is not None:
-                out.append(_or_null(e).alias(path))
+        kept = list(on)
+        for head, node in sorted(_nested(computed).items()):
+            e = _computed(node, now.schema)
+            if e.type is None:
+                continue
+            mine = [p for p in kept if p.split(".")[0] == head]
+            if mine:  # some fields of the object are kept: computed ones follow them
+                (here,) = _columns(shape, {p: 1 for p in mine}, ())
+                out = [c for c in _columns(shape, {p: 1 for p in kept if p not in mine}, ())] if len(mine) < len(kept) else []
+                kept = [p for p in kept if p not in mine]
+                for inner in e.type.names:
+                    here = here.withField(f"`{inner}`", e.value.getField(inner))
+                late.append(here.alias(head))
+            else:
+                late.append(_or_null(e).alias(head))
+        out += late
     return Stream(now.df.select(*out, *now.hidden), now.order, now.hidden)
 
 
+def _nested(computed: dict) -> dict:
+    """Paths as a tree of names; a leaf is (expression,)."""
+    out: dict = {}
+    for path, x in computed.items():
+        *above, last = paths.parse(path)
+        at = out
+        for p in above:
+            at = at.setdefault(p, {})
+        at[last] = (x,)
+    return out
+
+
+def _computed(node, schema: T.StructType) -> Expr:
+    """The value of a leaf, or the object of a tree's values; missing ones are left out."""
+    if isinstance(node, tuple):
+        return expression(node[0], schema)
+    each = {V.field_name(k): _computed(v, schema) for k, v in sorted(node.items())}
+    each = {k: e for k, e in each.items() if e.type is not None}
+    if not each:
+        return Expr(None, None, F.lit(False))
+    return Expr(T.StructType([T.StructField(k, e.type) for k, e in each.items()]), F.struct(*(_or_null(e).alias(k) for k, e in each.items())), F.lit(True), True)
+
+
 def _columns(df: DataFrame, spec: dict, ids: tuple[str, ...]) -> list[Column]:
     including = any(spec.values())
     tree = finding._tree(spec if including else {p: 0 for p, v in spec.items() if not v})
@@ -278,8 +315,8 @@ def _unwind(now: Stream, spec: object) -> Stream:
         fail("VAL_INVALID_SHAPE", "preserveNullAndEmptyArrays")
     parts = paths.parse(spec["path"][1:])
     at = paths.resolve(parts, now.schema)
-    if not at.absent and not at.one or len(parts) > 1:
-        fail("VAL_UNSUPPORTED_COMBINATION", "$unwind takes a top-level array")
+    if not at.absent and not at.one:
+        fail("VAL_UNSUPPORTED_COMBINATION", "$unwind of a path through an array")
     index = spec.get("includeArrayIndex")
     if index is not None:
         V.field_name(index)
@@ -293,31 +330,29 @@ def _unwind(now: Stream, spec: object) -> Stream:
     name, at_name = parts[0], f"{HIDDEN}_{len(now.hidden)}_at"
     explode = F.posexplode_outer if preserve else F.posexplode
     others = [F.col(f"`{n}`") for n in now.df.columns]
-    df = now.df.select(*others, explode(F.col(f"`{name}`")).alias(at_name, "__x"))
+    df = now.df.select(*others, explode(at.value).alias(at_name, "__x"))
     # Without the element an empty array and null look alike: both keep no value here, as the column now has the element's type.
-    df = df.withColumn(name, F.col("__x")).drop("__x")
+    inner = F.col("__x") if len(parts) == 1 else F.col(f"`{name}`").withField(".".join(f"`{p}`" for p in parts[1:]), F.col("__x"))
+    df = df.withColumn(name, inner).drop("__x")
     if index is not None:
         df = df.withColumn(index, F.col(at_name).cast("long"))
     shown = [f.name for f in df.schema if f.name not in (*now.hidden, at_name)]
     return Stream(df.select(*(F.col(f"`{n}`") for n in shown), *now.hidden, at_name), [*now.order, (at_name, 1)], (*now.hidden, at_name))
 
 
-@F.pandas_udf(T.DoubleType())
-def _tree_sum(chunks: pd.Series) -> pd.Series:
-    """Balanced pairwise sums of chunk totals."""
-
-    def pairwise(xs: list[float]) -> float:
-        while len(xs) > 1:
-            xs = [xs[k] + xs[k + 1] if k + 1 < len(xs) else xs[k] for k in range(0, len(xs), 2)]
-        return xs[0]
-
-    return chunks.map(lambda xs: pairwise(list(xs)) if xs is not None and len(xs) else 0.0)
+def _divide(total: Column, kind: T.DataType, n: Column) -> Column:
+    """total / n with 34 digits, half even; null for n = 0."""
+    precision, scale = (kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)
+    if precision <= 32:
+        return decimals.divide(total, scale, n)
+    return _divide_wide(total.cast("string"), n)
 
 
-@F.pandas_udf(T.StringType())
-def _divide(total: pd.Series, n: pd.Series) -> pd.Series:
-    """total / n with 34 digits, half even; null for n = 0."""
-    return pd.Series([None if not c else format(V.DECIMAL.divide(Decimal(t), Decimal(int(c))), "f") for t, c in zip(total, n, strict=True)])
+@F.pandas_udf(decimals.KIND)
+def _divide_wide(total: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """The same for quotients that the built-in division can't hold."""
+    out = [None if not c else decimals.parts(Fraction(V.DECIMAL.divide(Decimal(t), Decimal(int(c)))))[:2] for t, c in zip(total, n, strict=True)]
+    return pd.DataFrame([(None, None) if x is None else (x[0], Decimal(x[1])) for x in out], columns=decimals.KIND.names)
 
 
 def _group(now: Stream, spec: object) -> Stream:
@@ -379,17 +414,19 @@ def _group(now: Stream, spec: object) -> Stream:
                 inside = total.between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
                 late.append((name, F.when(inside, total.cast("long")).otherwise(F.raise_error(F.lit("TYPE_NUMERIC_OVERFLOW")).cast("long"))))
             elif op == "$sum":
-                late.append((name, total))
+                late.append((name, decimals.to_34_digits(total, scale)))
             else:
-                digits = _divide(total.cast("string"), F.col(f"__n{k}"))
-                late.append((name, digits.cast(T.DecimalType(38, 18))))
+                late.append((name, _divide(total, kind, F.col(f"__n{k}"))))
     if not aggs:
         aggs = [F.count(F.lit(1)).alias("__any")]
+    if key.type is not None and logical_type(key.type) == "float64":
+        # Both zeros are one key; the first in order stands for the group.
+        aggs.append(F.min_by("__k", ordinal).alias("__shown"))
     grouped = df.groupBy("__k", "__kp").agg(*aggs)
     if floats:
         grouped = _with_float_sums(df, grouped, floats, now.order)
     made = dict(late)
-    cols = [F.col("__k").alias("_id")] + [(made[n] if n in made else F.col(f"`{n}`")).alias(n) for n in outs if n in made or n in grouped.columns]
+    cols = [F.col("__shown" if "__shown" in grouped.columns else "__k").alias("_id")] + [(made[n] if n in made else F.col(f"`{n}`")).alias(n) for n in outs if n in made or n in grouped.columns]
     out = grouped.select(*cols, F.col("__kp").alias(f"{HIDDEN}_p"), F.col("__k").alias(f"{HIDDEN}_k"))
     return Stream(out, [(f"{HIDDEN}_p", 1), (f"{HIDDEN}_k", 1)], (f"{HIDDEN}_p", f"{HIDDEN}_k"))
 
@@ -402,17 +439,46 @@ def _ordinal(order: list[tuple[str, int]]) -> Column:
 def _with_float_sums(df: DataFrame, grouped: DataFrame, floats: list[tuple[int, str]], order: list[tuple[str, int]]) -> DataFrame:
     """Sums of floats that don't depend on partitions: left folds of chunks of CHUNK values by ordinal, combined pairwise.
 
-    The ordinal within a group comes from a window; a large group's chunks are
-    folded apart, so no task needs more than one group's window sort.
+    Rows are dealt by ranges of key and order, so a large group lies in many
+    tasks, and stored with their places; a value's ordinal is its place in its
+    part plus what the group has in earlier parts. Chunks and blocks of CHUNK
+    chunks are folded apart: no task sees more than CHUNK values of a group at
+    a time.
     """
     sort = [F.col(f"`{n}`").asc_nulls_first() if way == 1 else F.col(f"`{n}`").desc_nulls_last() for n, way in order]
+    same = lambda x: F.col("__k").eqNullSafe(F.col(f"k{x}")) & F.col("__kp").eqNullSafe(F.col(f"p{x}"))
+    key = lambda x: (F.col("__k").alias(f"k{x}"), F.col("__kp").alias(f"p{x}"))
     for k, name in floats:
         v = F.col(f"__v{k}")
-        at = F.row_number().over(W.partitionBy("__k", "__kp").orderBy(*sort)) - 1
-        rows = df.where(v.isNotNull()).select("__k", "__kp", v.cast("double").alias("v"), *(F.col(f"`{n}`") for n, _ in order)).withColumn("at", at)
-        chunks = rows.groupBy("__k", "__kp", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("xs"))
-        chunks = chunks.select("__k", "__kp", "chunk", F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["v"]).alias("s"))
-        sums = chunks.groupBy("__k", "__kp").agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("cs"))
-        sums = sums.select(F.col("__k").alias("k2"), F.col("__kp").alias("p2"), _tree_sum(F.transform("cs", lambda c: c["s"])).alias(name))
-        grouped = grouped.join(sums, F.col("__k").eqNullSafe(F.col("k2")) & F.col("__kp").eqNullSafe(F.col("p2")), "left").drop("k2", "p2")
+        rows = df.where(v.isNotNull()).select("__k", "__kp", v.cast("double").alias("v"), *(F.col(f"`{n}`") for n, _ in order))
+        by = [F.col("__k").asc_nulls_first(), F.col("__kp").asc_nulls_first(), *sort]
+        dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+        dealt = stored(dealt.select("__k", "__kp", "v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+        held = dealt.groupBy("__k", "__kp", "part").agg(F.count("*").alias("n"), F.min("place").alias("begin"))
+        earlier = W.partitionBy("__k", "__kp").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part
+        held = held.select(*key(1), F.col("part").alias("part1"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("begin")).alias("shift"))
+        at = F.col("place") + F.col("shift")
+        rows = dealt.join(held, same(1) & (F.col("part") == F.col("part1"))).select("__k", "__kp", F.floor(at / CHUNK).alias("chunk"), at.alias("at"), "v")
+        sums = rows.groupBy("__k", "__kp", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("xs"))
+        sums = sums.select("__k", "__kp", "chunk", F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["v"]).alias("s"))
+        most = dealt.groupBy("__k", "__kp").count().agg(F.max("count")).first()[0] or 0
+        left = -(-most // CHUNK)
+        while left > 1:
+            sums = sums.groupBy("__k", "__kp", F.floor(F.col("chunk") / CHUNK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("cs"))
+            sums = sums.select("__k", "__kp", F.col("block").alias("chunk"), _pairwise(F.transform("cs", lambda c: c["s"])).alias("s"))
+            left = -(-left // CHUNK)
+        grouped = grouped.join(sums.select(*key(2), F.col("s").alias(name)), same(2), "left").drop("k2", "p2")
     return grouped
+
+
+def _pairwise(xs: Column) -> Column:
+    """The balanced pairwise sum of at most CHUNK numbers."""
+
+    def halved(x: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 2).cast("int"))
+        return F.transform(pairs, lambda i: F.when(2 * i + 1 < F.size(x), F.get(x, 2 * i) + F.get(x, 2 * i + 1)).otherwise(F.get(x, 2 * i)))
+
+    out = F.array(xs)
+    for _ in range(CHUNK.bit_length() - 1):
+        out = F.transform(out, halved)
+    return out[0][0]

@@ -1,4 +1,9 @@
-"""Collections as immutable Parquet snapshots with one pointer file; commands read one and write the next."""
+"""Collections as immutable Parquet parts that manifests list; a command reads one manifest and publishes the next.
+
+A manifest names parts (rows) and tombstones (ids), each with the version that
+wrote it; a tombstone hides its ids in all older parts. So a command writes in
+proportion to the rows it changes, and parts are merged now and then.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +15,11 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import limits
 from ..errors import fail
@@ -32,6 +39,42 @@ def uuid7(now: float | None = None) -> str:
     return str(uuid.UUID(bytes=bytes(raw)))
 
 
+#: Parts and tombstones of a manifest beyond which the next write merges them.
+MOST_DELTAS = 16
+SEQ = "__seq"
+
+
+@dataclass
+class Manifest:
+    """What one version holds. parts, gone and marks list (folder, version that wrote it); result is the keyed result that the version's command gave."""
+
+    version: int
+    id: str
+    ttl: str | None
+    schema: T.StructType
+    parts: list[tuple[str, int]]
+    gone: list[tuple[str, int]] = field(default_factory=list)
+    marks: list[str] = field(default_factory=list)
+    indexes: list[dict] = field(default_factory=list)
+    result: tuple[str, str, dict] | None = None
+
+    def encode(self) -> str:
+        return json.dumps(vars(self) | {"schema": self.schema.jsonValue()}, default=str)
+
+    @staticmethod
+    def decode(text: str) -> Manifest:
+        raw = json.loads(text)
+        pairs = {k: [tuple(x) for x in raw[k]] for k in ("parts", "gone")}
+        return Manifest(**(raw | pairs | {"schema": T.StructType.fromJson(raw["schema"]), "result": tuple(raw["result"]) if raw["result"] else None}))
+
+
+def _holds(new: T.DataType, old: T.DataType) -> bool:
+    """Whether files of the old type can be read as the new one: the same, or objects with more fields."""
+    if isinstance(new, T.StructType) and isinstance(old, T.StructType):
+        return all(f.name in new.names and _holds(new[f.name].dataType, f.dataType) for f in old)
+    return new.simpleString() == old.simpleString()
+
+
 @dataclass
 class Database:
     """Named collections: Parquet tables to read, and snapshot folders to write."""
@@ -39,18 +82,29 @@ class Database:
     spark: SparkSession
     tables: dict[str, finding.Source] = field(default_factory=dict)
     folders: dict[str, str] = field(default_factory=dict)
+    manifests: dict[str, Manifest] = field(default_factory=dict)
     indexes: dict[str, list[dict]] = field(default_factory=dict)
     results: dict[str, tuple[str, dict]] = field(default_factory=dict)
+    keyed: tuple[str, str] | None = None
 
     def register(self, name: str, df: DataFrame, id: tuple[str, ...] | str = "_id", ttl: str | None = None, now: dt.datetime | None = None) -> None:
         self.tables[name] = finding.Source(df, (id,) if isinstance(id, str) else id, ttl, now)
 
-    def create(self, name: str, folder: str, df: DataFrame, id: str = "_id", ttl: str | None = None) -> None:
+    def create(self, name: str, folder: str, df: DataFrame, id: str = "_id", ttl: str | None = None, now: dt.datetime | None = None) -> None:
         """A collection that can be written, with df as its first snapshot."""
         self.folders[name] = folder
-        self.tables[name] = finding.Source(df, (id,), ttl)
+        self.tables[name] = finding.Source(df, (id,), ttl, now)
         self._commit(name, df)
 
+    def open(self, name: str, folder: str, version: int | None = None, now: dt.datetime | None = None) -> int:
+        """A published collection, at its newest version or at an older one; returns the version."""
+        self.folders[name] = folder
+        at = self.version(name) if version is None else version
+        manifest = self._read_manifest(name, at) or fail("VAL_RESOURCE_NOT_FOUND", f"version {at} of {folder}")
+        self.tables[name] = finding.Source(self._rows(manifest), (manifest.id,), manifest.ttl, now)
+        self.manifests[name], self.indexes[name] = manifest, list(manifest.indexes)
+        return at
+
     def source(self, name: object) -> finding.Source:
         return self.tables[name] if name in self.tables else fail("VAL_RESOURCE_NOT_FOUND", str(name))
 
@@ -61,6 +115,27 @@ class Database:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _text(self, folder: str, name: str) -> str | None:
+        fs, path = self._file(folder, name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write_text(self, folder: str, name: str, text: str) -> bool:
+        """Create a file; False if it exists."""
+        fs, path = self._file(folder, name)
+        try:
+            out = fs.create(path, False)
+        except Exception:
+            return False
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def version(self, name: str) -> int:
         """The snapshot that readers see: the highest published one."""
         fs, path = self._file(self.folders[name], "published")
@@ -68,20 +143,85 @@ class Database:
             return 0
         return max([int(s.getPath().getName()) for s in fs.listStatus(path)], default=0)
 
-    def _commit(self, name: str, df: DataFrame, base: int | None = None, options: dict[str, str] | None = None) -> None:
-        """Write the next snapshot and publish it by creating its pointer, which only one writer can."""
-        at = (self.version(name) if base is None else base) + 1
-        data = f"{self.folders[name]}/v{at:08d}-{uuid.uuid4().hex[:8]}"
+    def _read_manifest(self, name: str, version: int) -> Manifest | None:
+        text = self._text(self.folders[name], f"published/{version:08d}")
+        return Manifest.decode(text) if text else None
+
+    def _rows(self, m: Manifest) -> DataFrame:
+        """The rows of a manifest: its parts, less what later tombstones hide."""
+        read = lambda paths: self.spark.read.schema(m.schema).parquet(*paths)
+        if not m.gone:
+            return read([p for p, _ in m.parts])
+        fixed = [p for p, at in m.parts if all(at >= g for _, g in m.gone)]
+        hidden = [(p, at) for p, at in m.parts if p not in fixed]
+        if not hidden:
+            return read(fixed)
+        key = T.StructType([m.schema[m.id]])
+        gone = reduce(DataFrame.unionByName, [self.spark.read.schema(key).parquet(p).withColumn(SEQ, F.lit(at)) for p, at in m.gone])
+        rows = reduce(DataFrame.unionByName, [read([p]).withColumn(SEQ, F.lit(at)) for p, at in hidden])
+        left = rows.alias("r").join(gone.alias("g"), F.col(f"r.`{m.id}`").eqNullSafe(F.col(f"g.`{m.id}`")) & (F.col(f"r.{SEQ}") < F.col(f"g.{SEQ}")), "left_anti").drop(SEQ)
+        return left.unionByName(read(fixed)) if fixed else left
+
+    def _write(self, name: str, kind: str, df: DataFrame, options: dict[str, str] | None = None) -> str:
+        data = f"{self.folders[name]}/{kind}-{uuid.uuid4().hex}"
         df.write.options(**(options or {})).parquet(data)
-        fs, pointer = self._file(self.folders[name], f"published/{at:08d}")
-        try:
-            out = fs.create(pointer, False)
-        except Exception:
-            fail("CON_WRITE_CONFLICT", f"version {at} of {name} exists")
-        out.write(bytearray(data.encode()))
-        out.close()
+        return data
+
+    def _publish(self, name: str, manifest: Manifest) -> None:
+        """Make a manifest the next version by creating its file, which only one writer can."""
+        self._settle(name)
+        if not self._write_text(self.folders[name], f"published/{manifest.version:08d}", manifest.encode()):
+            fail("CON_WRITE_CONFLICT", f"version {manifest.version} of {name} exists")
+        self.manifests[name] = manifest
         old = self.tables[name]
-        self.tables[name] = finding.Source(self.spark.read.schema(df.schema).parquet(data), old.id, old.ttl, old.now)
+        self.tables[name] = finding.Source(self._rows(manifest), old.id, old.ttl, old.now)
+
+    def _commit(self, name: str, df: DataFrame, base: int | None = None, options: dict[str, str] | None = None, result: dict | None = None) -> None:
+        """A version of one part: the rows of df."""
+        source = self.tables[name]
+        at = (self._at(name) if base is None else base) + 1
+        marks = self.manifests[name].marks if name in self.manifests else []
+        part = (self._write(name, "part", df, options), at)
+        self._publish(name, Manifest(at, source.id[0], source.ttl, df.schema, [part], [], marks, self.indexes.get(name, []), self._own(result)))
+
+    def _at(self, name: str) -> int:
+        return self.manifests[name].version if name in self.manifests else 0
+
+    def _own(self, result: dict | None) -> tuple[str, str, dict] | None:
+        return (*self.keyed, result) if self.keyed and result is not None else None
+
+    def _append(self, name: str, part: str | None, gone: str | None, schema: T.StructType | None = None, marks: list[str] | None = None, result: dict | None = None) -> None:
+        """A version with one more part, one more tombstone, or both. Too many are merged into one part."""
+        m = self.manifests[name]
+        at = m.version + 1
+        nxt = Manifest(
+            at, m.id, self.tables[name].ttl, schema or m.schema, m.parts + ([(part, at)] if part else []), m.gone + ([(gone, at)] if gone else []),
+            m.marks if marks is None else marks, self.indexes.get(name, []), self._own(result),
+        )
+        if len(nxt.parts) + len(nxt.gone) > MOST_DELTAS:
+            nxt.parts, nxt.gone = [(self._write(name, "part", self._rows(nxt)), at)], []
+        self._publish(name, nxt)
+
+    # -- keyed results ---------------------------------------------------------
+
+    def _result_file(self, key: str) -> str:
+        return f"results/{hashlib.sha256(key.encode()).hexdigest()}"
+
+    def _settle(self, name: str) -> None:
+        """Give the newest manifest's keyed result a file of its own before a newer manifest hides it."""
+        newest = self.manifests.get(name)
+        if newest and newest.result:
+            self._write_text(self.folders[name], self._result_file(newest.result[0]), json.dumps(newest.result[1:], default=str))
+
+    def _stored_result(self, name: str, key: str) -> tuple[str, dict] | None:
+        """What a command with this key gave, in this session or another."""
+        if key in self.results:
+            return self.results[key]
+        text = self._text(self.folders[name], self._result_file(key))
+        if text:
+            return tuple(json.loads(text))
+        newest = self.manifests[name].result
+        return newest[1:] if newest and newest[0] == key else None
 
     # -- commands --------------------------------------------------------------
 
@@ -102,15 +242,19 @@ class Database:
         source = self.source(command[name])
         if name in READS:
             return {"find": finding.find, "count": finding.count, "aggregate": pipeline.aggregate}[name](source, command)
-        digest = hashlib.sha256(json.dumps(command, sort_keys=True, default=str).encode()).hexdigest()
-        if idempotency_key in self.results:
-            stored, result = self.results[idempotency_key]
-            return result if stored == digest else fail("CON_IDEMPOTENCY_MISMATCH")
         if command[name] not in self.folders:
             fail("CAP_UNSUPPORTED_FEATURE", "the collection is read only")
-        result = getattr(self, f"_{name}")(command[name], source, command)
+        digest = hashlib.sha256(json.dumps(command, sort_keys=True, default=str).encode()).hexdigest()
+        if idempotency_key is not None and (held := self._stored_result(command[name], idempotency_key)):
+            return held[1] if held[0] == digest else fail("CON_IDEMPOTENCY_MISMATCH")
+        self.keyed = (idempotency_key, digest) if idempotency_key is not None else None
+        try:
+            result = getattr(self, f"_{name}")(command[name], source, command)
+        finally:
+            self.keyed = None
         if idempotency_key is not None:
             self.results[idempotency_key] = (digest, result)
+            self._write_text(self.folders[command[name]], self._result_file(idempotency_key), json.dumps((digest, result), default=str))
         return result
 
     def _only(self, command: dict, *allowed: str) -> None:
@@ -120,8 +264,7 @@ class Database:
 
     def _insertOne(self, name: str, source: finding.Source, command: dict) -> dict:
         self._only(command, "document")
-        out = self._insert(name, source, [command.get("document")])
-        return {"acknowledged": True, "insertedCount": 1, "insertedId": out[0]}
+        return self._insert(name, source, [command.get("document")], lambda ids: {"acknowledged": True, "insertedCount": 1, "insertedId": ids[0]})
 
     def _insertMany(self, name: str, source: finding.Source, command: dict) -> dict:
         self._only(command, "documents")
@@ -129,11 +272,10 @@ class Database:
         if not isinstance(docs, list) or not docs:
             fail("VAL_INVALID_SHAPE", "documents")
         limits.check("batch.items", len(docs))
-        ids = self._insert(name, source, docs)
-        return {"acknowledged": True, "insertedCount": len(ids), "insertedIds": dict(enumerate(ids))}
+        return self._insert(name, source, docs, lambda ids: {"acknowledged": True, "insertedCount": len(ids), "insertedIds": dict(enumerate(ids))})
 
-    def _insert(self, name: str, source: finding.Source, docs: list) -> list:
-        """All or nothing; ids that exist or repeat are an error."""
+    def _insert(self, name: str, source: finding.Source, docs: list, result) -> dict:
+        """All or nothing; ids that exist or repeat are an error. Only the new rows are written."""
         (key,) = source.id
         rows = []
         for d in docs:
@@ -149,11 +291,14 @@ class Database:
         if len(set(ids)) < len(ids):
             fail("UNQ_PRIMARY_DUPLICATE")
         new = self.spark.createDataFrame([Row(**{c: r.get(c) for c in source.df.columns}) for r in rows], source.df.schema)
-        if not source.df.where(F.col(f"`{key}`").isin(ids)).isEmpty():
+        self._insert_rows(name, source, new, ids, result(ids))
+        return result(ids)
+
+    def _insert_rows(self, name: str, source: finding.Source, new: DataFrame, ids: list, result: dict) -> None:
+        if not source.df.where(F.col(f"`{source.id[0]}`").isin(ids)).isEmpty():
             fail("UNQ_PRIMARY_DUPLICATE")
         self._unique(name, source.df.unionByName(new))
-        self._commit(name, source.df.unionByName(new))
-        return ids
+        self._append(name, self._write(name, "part", new.coalesce(1)), None, result=result)
 
     def _unique(self, name: str, df: DataFrame) -> None:
         for index in self.indexes.get(name, []):
@@ -162,11 +307,11 @@ class Database:
                 if not df.groupBy(*keys).count().where("count > 1").isEmpty():
                     fail("UNQ_SECONDARY_DUPLICATE", ",".join(index["keys"]))
 
-    def _targets(self, source: finding.Source, command: dict, one: bool):
-        """The condition that marks the target rows of the pinned snapshot, and their ids (one target only)."""
+    def _targets(self, source: finding.Source, command: dict, one: bool) -> tuple[Column, object]:
+        """The condition that marks the visible target rows of the pinned snapshot, and the id (one target only)."""
         condition = F.coalesce(compile_filter(command.get("filter", {}), source.context(), False), F.lit(False))
         if not one:
-            return condition, None
+            return condition & ~source.expired(), None
         order = command.get("sort")
         found = finding.find(source, {"find": "", "filter": command.get("filter", {}), "limit": 1} | ({"sort": order} if order else {})).select(*source.id).collect()
         if not found:
@@ -175,27 +320,36 @@ class Database:
         return F.col(f"`{key}`").eqNullSafe(F.lit(found[0][0])), found[0][0]
 
     def _update(self, name: str, source: finding.Source, command: dict, one: bool) -> dict:
+        """Targets are fixed by their pre-images, so an update may change what its own filter asks for."""
         self._only(command, "filter", "update", "upsert", *(["sort"] if one else []))
         updates.validate(command.get("update"), source.id)
         target, _ = self._targets(source, command, one)
         matched = source.df.where(target).count()
         if not matched and command.get("upsert"):
             return self._upsert(name, source, command)
-        after = updates.post_image(source.df, command["update"], target, source.id)
-        modified = 0
-        if matched:
-            (key,) = source.id
-            both = after.where(target).alias("n").join(source.df.alias("o"), F.col(f"n.`{key}`").eqNullSafe(F.col(f"o.`{key}`")))
-            added = [F.col(f"n.`{c}`").isNotNull() for c in after.columns if c not in source.df.columns]
-            tests = [~F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in after.columns if c in source.df.columns] + added
-            cond = tests[0]
-            for t in tests[1:]:
-                cond = cond | t
-            modified = both.where(cond).count()
-        if modified:
-            self._unique(name, after)
-            self._commit(name, after)
-        return {"acknowledged": True, "matchedCount": matched, "modifiedCount": modified, "upsertedCount": 0}
+        outcome = lambda n: {"acknowledged": True, "matchedCount": matched, "modifiedCount": n, "upsertedCount": 0}
+        if not matched:
+            return outcome(0)
+        columns = source.df.columns
+        before = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__before")
+        after = updates.post_image(source.df.where(target).select("*", before), command["update"], F.lit(True), source.id)
+        fields = [c for c in after.columns if c != "__before"]
+        tests = [~F.col(f"`{c}`").eqNullSafe(F.col("__before").getField(c)) if c in columns else F.col(f"`{c}`").isNotNull() for c in fields]
+        changed = after.where(reduce(lambda a, b: a | b, tests)).select(*(F.col(f"`{c}`") for c in fields))
+        part = self._write(name, "part", changed)
+        changed = self.spark.read.schema(changed.schema).parquet(part)
+        modified = changed.count()
+        if not modified:
+            return outcome(0)
+        (key,) = source.id
+        if any(i.get("unique") for i in self.indexes.get(name, [])):
+            self._unique(name, source.df.join(changed.select(key), key, "left_anti").unionByName(changed, allowMissingColumns=True))
+        schema = changed.schema
+        if all(c in schema.names and _holds(schema[c].dataType, source.df.schema[c].dataType) for c in columns):
+            self._append(name, part, self._write(name, "gone", changed.select(key)), schema, result=outcome(modified))
+        else:  # a column's type changes: files of the old type can't be read as the new one
+            self._commit(name, updates.post_image(source.df, command["update"], target, source.id), result=outcome(modified))
+        return outcome(modified)
 
     def _updateOne(self, name: str, source: finding.Source, command: dict) -> dict:
         return self._update(name, source, command, True)
@@ -211,10 +365,9 @@ class Database:
         row = self.spark.createDataFrame([Row(**{c: seed.get(c) for c in source.df.columns})], source.df.schema)
         after = updates.post_image(row, command["update"], F.lit(True), source.id, inserting=True)
         after = after.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in source.df.schema))
-        if not source.df.where(F.col(f"`{key}`").eqNullSafe(F.lit(seed[key]))).isEmpty():
-            fail("UNQ_PRIMARY_DUPLICATE")
-        self._commit(name, source.df.unionByName(after))
-        return {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 1, "upsertedId": seed[key]}
+        result = {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 1, "upsertedId": seed[key]}
+        self._insert_rows(name, source, after, [seed[key]], result)
+        return result
 
     def _replaceOne(self, name: str, source: finding.Source, command: dict) -> dict:
         self._only(command, "filter", "replacement", "sort", "upsert")
@@ -223,25 +376,28 @@ class Database:
             fail("VAL_INVALID_SHAPE", "a replacement is a document")
         (key,) = source.id
         target, found = self._targets(source, command, True)
+        outcome = lambda n, m, **more: {"acknowledged": True, "matchedCount": n, "modifiedCount": m, "upsertedCount": 0} | more
         if found is None:
             if command.get("upsert"):
-                ids = self._insert(name, source, [new])
-                return {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 1, "upsertedId": ids[0]}
-            return {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 0}
+                return self._insert(name, source, [new], lambda ids: outcome(0, 0, upsertedCount=1, upsertedId=ids[0]))
+            return outcome(0, 0)
         if new.get(key, found) != found:
             fail("VAL_PROTECTED_FIELD", key)
         row = self.spark.createDataFrame([Row(**{c: ({key: found} | new).get(c) for c in source.df.columns})], source.df.schema)
-        same = not source.df.where(target).exceptAll(row).isEmpty()
-        if same:
-            self._commit(name, source.df.where(~target).unionByName(row))
-        return {"acknowledged": True, "matchedCount": 1, "modifiedCount": int(same), "upsertedCount": 0}
+        if source.df.where(target).exceptAll(row).isEmpty():
+            return outcome(1, 0)
+        self._unique(name, source.df.where(~target).unionByName(row))
+        self._append(name, self._write(name, "part", row.coalesce(1)), self._write(name, "gone", row.select(key).coalesce(1)), result=outcome(1, 1))
+        return outcome(1, 1)
 
     def _delete(self, name: str, source: finding.Source, command: dict, one: bool) -> dict:
         self._only(command, "filter", *(["sort"] if one else []))
         target, _ = self._targets(source, command, one)
-        n = source.df.where(target).count()
+        (key,) = source.id
+        gone = self._write(name, "gone", source.df.where(target).select(key))
+        n = self.spark.read.schema(T.StructType([source.df.schema[key]])).parquet(gone).count()
         if n:
-            self._commit(name, source.df.where(~target))
+            self._append(name, None, gone, result={"acknowledged": True, "deletedCount": n})
         return {"acknowledged": True, "deletedCount": n}
 
     def _deleteOne(self, name: str, source: finding.Source, command: dict) -> dict:
@@ -266,6 +422,8 @@ class Database:
         if entry.get("ttl"):
             path = entry["ttl"] if isinstance(entry["ttl"], str) else next(iter(entry["keys"]))
             self.tables[name] = finding.Source(source.df, source.id, path, source.now)
+        if name in self.folders:
+            self._append(name, None, None)
         return {"acknowledged": True, "index": entry}
 
     def cluster(self, name: str, *keys: str, bloom: bool = True) -> None:
@@ -292,3 +450,21 @@ class Database:
                 held = []
         if held:
             yield held
+
+    def page(self, command: dict, batch: int = 1000, token: dict | None = None) -> tuple[list[Row], dict | None]:
+        """One batch of find's rows and a token for the next, or None at the end. A token names the snapshot and the
+        position in its total order, so another session that opens the collection goes on where this one stopped."""
+        limits.check("batch.items", batch)
+        name = command.get("find")
+        digest = hashlib.sha256(json.dumps(command, sort_keys=True, default=str).encode()).hexdigest()
+        source = self.source(name)
+        token = token or {"command": digest, "version": self._at(name) if name in self.folders else 0, "position": 0}
+        if token["command"] != digest:
+            fail("VAL_INVALID_SHAPE", "the token belongs to another command")
+        if name in self.folders and token["version"] != self._at(name):
+            manifest = self._read_manifest(name, token["version"]) or fail("VAL_RESOURCE_NOT_FOUND", f"version {token['version']}")
+            source = finding.Source(self._rows(manifest), source.id, source.ttl, source.now)
+        left = finding.position(command["limit"], "limit") - token["position"] if "limit" in command else batch + 1
+        rows = finding.find(source, command | {"skip": command.get("skip", 0) + token["position"], "limit": max(0, min(batch + 1, left))}).collect()
+        more = len(rows) > batch
+        return rows[:batch], token | {"position": token["position"] + batch} if more else None

@@ -1,12 +1,25 @@
-"""Where snapshots of scratch collections go."""
+"""Where snapshots of scratch collections and stored intermediate rows go."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from ..errors import fail
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")).rstrip("/")
+    """The cluster's shared folder; a temporary one only where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        fail("CAP_UNSUPPORTED_FEATURE", "a cluster needs spark.checkpoint.dir, a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="lodestone-")).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written below the shared folder and read again: later reads see the same rows and places, also after an executor is lost."""
+    folder = f"{scratch(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

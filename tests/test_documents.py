@@ -63,6 +63,21 @@ def test_change_log(spark, tmp_path):
     assert [tuple(r) for r in db.run({"find": "c"}).collect()] == [(1, "y"), (3, "n")]
 
 
+def test_late_changes_lose(spark, tmp_path):
+    """Batches in any order, and twice, give what the highest seq of each id says, deletes included."""
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.createDataFrame([(1, "a"), (2, "b")], "_id long, s string"))
+    batch = lambda *rows: changes.apply_batch(db, "c", spark.createDataFrame(list(rows), "_id long, op string, seq long, s string"))
+    batch((1, "upsert", 5, "new"), (2, "delete", 5, None))
+    at = batch((1, "upsert", 3, "old"), (2, "upsert", 4, "back"), (3, "upsert", 1, "c"))
+    assert batch((1, "upsert", 5, "new"), (3, "upsert", 1, "c")) == at
+    assert [tuple(r) for r in db.run({"find": "c"}).collect()] == [(1, "new"), (3, "c")]
+    other = Database(spark)
+    other.open("c", str(tmp_path / "c"))
+    changes.apply_batch(other, "c", spark.createDataFrame([(2, "upsert", 4, "late"), (2, "upsert", 6, "now")], "_id long, op string, seq long, s string"))
+    assert [tuple(r) for r in other.run({"find": "c"}).collect()] == [(1, "new"), (2, "now"), (3, "c")]
+
+
 def test_operations():
     from lodestone.functions import operations as O
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Row
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from lodestone import jsonio, limits, paths
 from lodestone.errors import EngineError
+from lodestone.functions import columns, decimals
 from lodestone.functions import values as V
 from lodestone.operators import find as finding
 from lodestone.operators import pipeline, regex, updates
@@ -81,7 +83,7 @@ def matches(row, spec):
             return not any(V.equal(v, lit) for v in vals)
         if op in ("$gt", "$gte", "$lt", "$lte"):
             test = {"$gt": lambda c: c > 0, "$gte": lambda c: c >= 0, "$lt": lambda c: c < 0, "$lte": lambda c: c <= 0}[op]
-            return any(same(v) and test(V.compare(v, lit)) for v in vals)
+            return lit.type != "null" and any(same(v) and test(V.compare(v, lit)) for v in vals)
         if op in ("$in", "$nin"):
             return any(V.equal(v, as_value(x)) for v in vals for x in operand) == (op == "$in")
         if op == "$exists":
@@ -122,7 +124,7 @@ FILTERS = [
     {"tags": {"$size": 2}}, {"tags": {"$all": [2, None]}}, {"tags": {"$all": []}}, {"tags": {"$elemMatch": {"$gt": 1}}}, {"tags.0": 1}, {"tags.1": None}, {"tags.7": {"$exists": True}}, {"tags": [1, 2]}, {"items.k": "u"}, {"items.k": None}, {"items.q": {"$gt": 2}},
     {"items.q": {"$ne": 1}}, {"items.q": {"$not": {"$gt": 1}}}, {"items": {"$elemMatch": {"k": "u", "q": {"$gte": 2}}}}, {"items.0.q": {"$lt": 3}}, {"items.k": {"$exists": True}}, {"items.q": {"$in": [3, None]}}, {"items.q": {"$nin": [3, None]}},
     {"s": {"$prefix": "ab"}}, {"s": {"$contains": "b"}}, {"s": {"$prefix": ""}}, {"n": {"$prefix": "1"}}, {"$and": [{"n": 1}, {"s": "abc"}]}, {"$or": [{"n": 1}, {"o.b": "q"}]}, {"$nor": [{"n": 1}, {"x": {"$gt": 1}}]}, {"$not": {"n": {"$gt": 1}}}, {"$and": [], "$nor": []}, {"$or": []},
-    {"n": {"$not": {"$gt": 1}}}, {"n": {"$type": "number"}}, {"x": {"$type": "null"}}, {"items.k": {"$type": "string"}}, {"o": {"a": 1, "b": "p"}}, {"o": {"b": "p", "a": 1}}, {"n": {"$gte": None}}, {"n": {"$gt": None}}, {"n": {"$gt": 1, "$lt": 3}}, {"$or": [{"n": {"$ne": 1}}, {"items.q": 9}]},
+    {"n": {"$not": {"$gt": 1}}}, {"n": {"$type": "number"}}, {"x": {"$type": "null"}}, {"items.k": {"$type": "string"}}, {"o": {"a": 1, "b": "p"}}, {"o": {"b": "p", "a": 1}}, {"n": {"$gte": None}}, {"n": {"$gt": None}}, {"n": {"$lte": None}}, {"items.k": {"$gte": None}}, {"n": {"$not": {"$lte": None}}}, {"n": {"$gt": 1, "$lt": 3}}, {"$or": [{"n": {"$ne": 1}}, {"items.q": 9}]},
 ]
 
 
@@ -193,14 +195,15 @@ def test_find_order_and_projection(source, data):
 
 def test_pipeline(source, data):
     run = lambda *stages: pipeline.aggregate(source, {"aggregate": "t", "pipeline": list(stages)})
-    groups = run({"$group": {"_id": "$n", "c": {"$count": {}}, "m": {"$min": "$s"}, "t": {"$sum": "$n"}, "a": {"$avg": "$d"}}}).collect()
+    groups = run({"$group": {"_id": "$n", "c": {"$count": {}}, "m": {"$min": "$s"}, "t": {"$sum": "$n"}, "a": {"$avg": "$d"}}})
+    groups = groups.withColumn("a", decimals.text(groups.a)).collect()
     keys = [g._id for g in groups]
     assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
     for g in groups:
         mine = [r for r in data if r[1] == g._id]
         ds = [r[3] for r in mine if r[3] is not None]
         assert g.c == len(mine) and g.t == sum(r[1] or 0 for r in mine)
-        assert (g.a is None) == (not ds) and (not ds or abs(g.a - sum(ds) / len(ds)) < Decimal("1e-15"))
+        assert (g.a is None) == (not ds) and (not ds or Decimal(g.a) == V.DECIMAL.divide(sum(ds), Decimal(len(ds))))
         assert g.m == min((r[4] for r in mine), key=lambda s: (s is not None, s or ""))
     out = run({"$unwind": {"path": "$tags", "includeArrayIndex": "k"}}, {"$project": {"tags": 1, "k": 1}}).collect()
     assert [(r._id, r.tags, r.k) for r in out] == [(d[0], t, k) for d in data for k, t in enumerate(d[5] or [])]
@@ -214,6 +217,68 @@ def test_pipeline(source, data):
         code(expected, run, stage)
 
 
+def test_averages_have_34_digits(spark):
+    """Long division on the JVM against the decimal context, ties and carries included; the struct's order is the numbers' order."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    pairs = [(4, 3), (0, 5), (1, 3), (2, 3), (-1, 7), (10**18 - 1, 10**18), (1, 2**62), (2**63 - 1, 1), (-(2**63), 3), (5, 0), (1, 8), (-(10**18) + 1, 10**18)]
+    pairs += [(rng.randrange(-(10 ** rng.randrange(1, 19)), 10 ** rng.randrange(1, 19)), rng.randrange(1, 10 ** rng.randrange(1, 19))) for _ in range(300)]
+    df = spark.createDataFrame([(k, Decimal(a), b) for k, (a, b) in enumerate(pairs)], "k int, t decimal(38,0), n long")
+    df = df.withColumn("q", decimals.divide(F.col("t"), 0, F.col("n"))).withColumn("s", decimals.divide(F.col("t").cast("decimal(38,3)"), 3, F.col("n")))
+    got = df.select("k", "q", decimals.text(F.col("q")).alias("x"), decimals.text(F.col("s")).alias("y")).collect()
+    want = {k: None if not b else V.DECIMAL.divide(Decimal(a), Decimal(b)) for k, (a, b) in enumerate(pairs)}
+    for r in got:
+        assert (r.x is None) == (want[r.k] is None)
+        assert r.x is None or Decimal(r.x) == Decimal(r.y) == want[r.k], pairs[r.k]
+    order = [r.k for r in df.where("q is not null").orderBy("q", "k").collect()]
+    assert order == sorted((k for k in want if want[k] is not None), key=lambda k: (want[k], k))
+    for r in got:
+        if r.q is not None:
+            assert decimals.parts(Fraction(want[r.k])) == (r.q.rank, int(r.q.coefficient), True)
+    src = finding.Source(spark.createDataFrame([(k, k % 3, k) for k in range(10)], "_id long, g long, v long"))
+    run = lambda f: [r["_id"] for r in pipeline.aggregate(src, {"aggregate": "t", "pipeline": [{"$group": {"_id": "$g", "a": {"$avg": "$v"}}}, {"$match": {"a": f}}]}).collect()]
+    assert run({"$gt": 4.25}) == [0, 2] and run({"$lte": 4}) == [1] and run({"$in": [4, 4.5]}) == [0, 1] and run({"$lt": Decimal("4.5")}) == [1]
+
+
+def test_decimal_sums_round_to_34_digits(spark):
+    from pyspark.sql import functions as F
+
+    given = [Decimal("12345678901234567890123456789012345.5"), Decimal("0.5"), Decimal("-99999999999999999999999999999999999.7"), Decimal("1234567890123456789012345678901234565.0")]
+    df = spark.createDataFrame([(x,) for x in given], "x decimal(38,1)")
+    assert [r[0] for r in df.select(decimals.to_34_digits(F.col("x"), 1)).collect()] == [V.DECIMAL.plus(x) for x in given]
+
+
+def test_value_operations_on_columns(spark):
+    """Against the operations on single values."""
+    values = [2**63 - 1, -(2**63), 2**53 + 1, 2**53, -5, 0, 1, 3]
+    floats = [0.5, -0.0, 1.0, float(2**53), 2.5, float("nan"), float("inf"), 3.0, 0.1]
+    rows = [(k, a, b, Decimal("0.10") if k % 2 else Decimal("3.00")) for k, (a, b) in enumerate((a, b) for a in values for b in floats)]
+    df = spark.createDataFrame(rows, "k int, n long, x double, d decimal(10,2)")
+    at = lambda c: (df[c], df.schema[c].dataType)
+    for r in df.select("k", columns.equal(*at("n"), *at("x")).alias("nx"), columns.equal(*at("x"), *at("d")).alias("xd"), columns.equal(*at("d"), *at("n")).alias("dn")).collect():
+        _, a, b, d = rows[r.k]
+        n, x, d = V.Value("int64", a), V.literal(b), V.literal(d)
+        assert (r.nx, r.xd, r.dn) == (V.equal(n, x), V.equal(x, d), V.equal(d, n)), rows[r.k]
+    safe = df.where("abs(n) <= 5")
+    assert all(r[0] == r.n + r.x or r[0] != r[0] for r in safe.select(columns.add(*at("n"), *at("x")), "n", "x").collect())
+    assert {r[0] for r in safe.select(columns.negate(*at("n"))).collect()} == {5, 0, -1, -3}
+    for c in (columns.add(*at("n"), *at("n")), columns.negate(*at("n")), columns.add(*at("n"), *at("x"))):
+        with pytest.raises(Exception, match="TYPE_"):
+            df.select(c).collect()
+    code("TYPE_MISMATCH", columns.add, *at("x"), *at("d"))
+
+
+def test_unwind_and_project_below_objects(spark):
+    src = finding.Source(spark.createDataFrame([(1, ([5, 6], "p")), (2, ([], "q")), (3, (None, "r")), (4, None)], "_id long, o struct<a:array<long>,b:string>"))
+    run = lambda *stages: [tuple(r) for r in pipeline.aggregate(src, {"aggregate": "t", "pipeline": list(stages)}).collect()]
+    shown = {"$project": {"a": "$o.a", "b": "$o.b", "k": 1}}
+    assert run({"$unwind": {"path": "$o.a", "includeArrayIndex": "k"}}, shown) == [(1, 0, 5, "p"), (1, 1, 6, "p")]
+    assert run({"$unwind": {"path": "$o.a", "includeArrayIndex": "k", "preserveNullAndEmptyArrays": True}}, shown) == [(1, 0, 5, "p"), (1, 1, 6, "p"), (2, None, None, "q"), (3, None, None, "r"), (4, None, None, None)]
+    assert run({"$project": {"o.b": 1, "o.n": {"$literal": 7}, "x.y": "$o.b", "x.z": "$gone"}})[:2] == [(1, ("p", 7), ("p",)), (2, ("q", 7), ("q",))]
+    code("VAL_CONFLICTING_PATHS", run, {"$project": {"o": 1, "o.n": {"$literal": 7}}})
+
+
 def test_float_sum_does_not_depend_on_partitions(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice("ab"), rng.uniform(-1e12, 1e12) * 10 ** rng.randrange(-6, 6)) for k in range(5000)]
@@ -276,6 +341,74 @@ def test_collection(spark, tmp_path):
     assert uuid7(1) < uuid7(2)
 
 
+def files(path):
+    return sum(1 for _ in path.rglob("*.parquet"))
+
+
+def test_writes_are_deltas(spark, tmp_path):
+    """A command adds parts in proportion to what it changes; another session finds the same rows, keyed results and older versions."""
+    db = Database(spark)
+    df = spark.range(1000).selectExpr("id AS _id", "concat('s', id % 7) AS s", "struct(id AS a) AS o").repartition(4)
+    db.create("c", str(tmp_path / "c"), df)
+    before = {p: p.stat().st_size for p in (tmp_path / "c").rglob("*.parquet")}
+    db.run({"insertOne": "c", "document": {"_id": 5000, "s": "new"}}, "once")
+    db.run({"updateMany": "c", "filter": {"s": "s3"}, "update": {"$set": {"s": "s4", "o.b": 1, "extra": 2}}})
+    db.run({"deleteMany": "c", "filter": {"_id": {"$lt": 10}}})
+    assert all(p.exists() and p.stat().st_size == n for p, n in before.items())
+    other = Database(spark)
+    assert other.open("c", str(tmp_path / "c")) == 4
+    rows = other.run({"find": "c"}).collect()
+    want = [k for k in range(10, 1000)] + [5000]
+    assert [r._id for r in rows] == want and rows == db.run({"find": "c"}).collect()
+    assert {(r.s, r.o and r.o.b, r.extra) for r in rows if r._id % 7 == 3 and r._id < 5000} == {("s4", 1, 2)} and {r.extra for r in rows if r._id % 7 != 3} == {None}
+    assert other.run({"insertOne": "c", "document": {"_id": 5000, "s": "new"}}, "once")["insertedId"] == 5000
+    code("CON_IDEMPOTENCY_MISMATCH", other.run, {"insertOne": "c", "document": {"_id": 5001}}, "once")
+    old = Database(spark)
+    old.open("c", str(tmp_path / "c"), 1)
+    assert old.run({"count": "c"}).first().n == 1000
+    code("CON_WRITE_CONFLICT", old.run, {"insertOne": "c", "document": {"_id": 7777}})
+    for k in range(20):  # parts are merged now and then
+        other.run({"insertOne": "c", "document": {"_id": 6000 + k}})
+    assert len(other.manifests["c"].parts) < 16 and [r._id for r in other.run({"find": "c", "filter": {"_id": {"$gte": 5000}}}).collect()] == [5000, *range(6000, 6020)]
+    code("VAL_RESOURCE_NOT_FOUND", other.open, "d", str(tmp_path / "none"))
+
+
+def test_update_of_its_own_filter_field(spark, tmp_path):
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "_id long, s string"))
+    assert db.run({"updateMany": "c", "filter": {"s": "a"}, "update": {"$set": {"s": "b"}}}) == {"acknowledged": True, "matchedCount": 2, "modifiedCount": 2, "upsertedCount": 0}
+    assert [tuple(r) for r in db.run({"find": "c"}).collect()] == [(1, "b"), (2, "b"), (3, None)]
+    assert db.run({"updateMany": "c", "filter": {}, "update": {"$set": {"s": 5}}})["modifiedCount"] == 3  # another type: all rows are written anew
+    assert [tuple(r) for r in db.run({"find": "c"}).collect()] == [(1, 5), (2, 5), (3, 5)]
+
+
+def test_pages_resume_in_another_session(spark, tmp_path):
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.range(25).selectExpr("id AS _id", "id % 3 AS g"))
+    command = {"find": "c", "sort": {"g": -1}, "skip": 2, "limit": 17}
+    whole = [r._id for r in db.run(command).collect()]
+    rows, token = db.page(command, 5)
+    got = [r._id for r in rows]
+    db.run({"deleteMany": "c", "filter": {"g": 1}})
+    other = Database(spark)
+    other.open("c", str(tmp_path / "c"))
+    while token:
+        rows, token = other.page(command, 5, token)
+        got += [r._id for r in rows]
+    assert got == whole
+    code("VAL_INVALID_SHAPE", db.page, {"find": "c"}, 5, {"command": "x", "version": 1, "position": 0})
+
+
+def test_ttl_in_writes(spark, tmp_path):
+    now = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "a"), (2, dt.datetime(2024, 1, 3), "a"), (3, None, "a")], "_id long, t timestamp_ntz, s string")
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), df, ttl="t", now=now)
+    assert db.run({"updateMany": "c", "filter": {"s": "a"}, "update": {"$set": {"s": "b"}}})["matchedCount"] == 2
+    assert db.run({"deleteMany": "c", "filter": {}})["deletedCount"] == 2
+    assert [(r._id, r.s) for r in db.source("c").df.collect()] == [(1, "a")]
+
+
 def test_ttl(spark):
     now = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 2)), (3, dt.datetime(2024, 1, 3)), (4, None)], "_id long, t timestamp_ntz")
