@@ -75,6 +75,16 @@ def _holds(new: T.DataType, old: T.DataType) -> bool:
     return new.simpleString() == old.simpleString()
 
 
+def _differs(new: Column, kind: T.DataType, old: Column, was: T.DataType) -> Column:
+    """Whether an update changed a field; a field that it created counts unless it is null."""
+    if kind.simpleString() == was.simpleString():
+        return ~new.eqNullSafe(old)
+    if not (isinstance(kind, T.StructType) and isinstance(was, T.StructType)):
+        return F.lit(True)
+    each = [_differs(new.getField(f.name), f.dataType, old.getField(f.name), was[f.name].dataType) if f.name in was.names else new.getField(f.name).isNotNull() for f in kind]
+    return reduce(lambda a, b: a | b, each, new.isNull() != old.isNull())
+
+
 @dataclass
 class Database:
     """Named collections: Parquet tables to read, and snapshot folders to write."""
@@ -334,7 +344,8 @@ class Database:
         before = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__before")
         after = updates.post_image(source.df.where(target).select("*", before), command["update"], F.lit(True), source.id)
         fields = [c for c in after.columns if c != "__before"]
-        tests = [~F.col(f"`{c}`").eqNullSafe(F.col("__before").getField(c)) if c in columns else F.col(f"`{c}`").isNotNull() for c in fields]
+        kinds = source.df.schema
+        tests = [_differs(F.col(f"`{c}`"), after.schema[c].dataType, F.col("__before").getField(c), kinds[c].dataType) if c in columns else F.col(f"`{c}`").isNotNull() for c in fields]
         changed = after.where(reduce(lambda a, b: a | b, tests)).select(*(F.col(f"`{c}`") for c in fields))
         part = self._write(name, "part", changed)
         changed = self.spark.read.schema(changed.schema).parquet(part)
