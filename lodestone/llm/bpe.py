@@ -27,7 +27,8 @@ WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 LETTER, NUMBER, OTHER, SPACE, BORDER = 0, 1, 2, 3, 4
 #: Lone surrogates can't occur in a text; they stand for the end of a document and for the special token.
 END, SPECIAL = "\ud800", "\ud801"
-CHUNK = 1 << 21
+#: Characters that are encoded at a time, and whose pieces are found at a time.
+CHUNK, PART = 1 << 23, 1 << 19
 MOST_WORDS = 400_000
 MOST_PAIRS = 1_000_000
 PAIR_BITS = 20
@@ -325,35 +326,50 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
+        for ids, stops in self.encode_flat(texts):
+            begin = 0
+            for stop in stops.tolist():
+                yield ids[begin:stop]
+                begin = stop
+
+    def encode_flat(self, texts: list[str | None], end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts in a row, where each text's ids stop) for all texts in order; with `end`, that id follows each text."""
         part: list[str] = []
         size = 0
         for t in texts:
             part.append(t or "")
             size += len(part[-1])
             if size >= CHUNK:
-                yield from self._encode(part)
+                yield self._encode(part, end)
                 part, size = [], 0
         if part:
-            yield from self._encode(part)
-
-    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        joined = END.join(texts) + END
-        for name, i in self.v.special.items():
-            joined = joined.replace(name, SPECIAL)
-        data = joined.encode("utf-8", "surrogatepass")
-        starts = pieces(joined, len(data), self.classes)
-        offsets = np.append(starts, len(data)).astype(np.int32)
-        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            yield self._encode(part, end)
+
+    def _encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        datas, offsets, at = [], [], 0
+        k = 0
+        while k < len(texts):  # pieces are found a part at a time, so that its arrays stay in the cache
+            size, begin = 0, k
+            while k < len(texts) and size < PART:
+                size += len(texts[k])
+                k += 1
+            joined = END.join(texts[begin:k]) + END
+            for name in self.v.special:
+                joined = joined.replace(name, SPECIAL)
+            data = joined.encode("utf-8", "surrogatepass")
+            offsets.append(pieces(joined, data, self.classes).astype(np.int32) + np.int32(at))
+            datas.append(data)
+            at += len(data)
+        starts = np.concatenate([*offsets, np.array([at], np.int32)])
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(b"".join(datas))]).dictionary_encode()
         known = self.words
         if len(known) > MOST_WORDS:
             known.clear()
         border = END.encode("utf-8", "surrogatepass")
-        known[border] = b""
+        known[border] = b"" if end is None else pack("I", end)
         for i in self.v.special.values():
             known[SPECIAL.encode("utf-8", "surrogatepass")] = pack("I", i)
-        _, places, raw = coded.dictionary.buffers()
-        places, raw = np.frombuffer(places, np.int32, len(coded.dictionary) + 1).tolist(), raw.to_pybytes()
-        distinct = [raw[a:b] for a, b in zip(places, places[1:], strict=False)]
+        distinct = coded.dictionary.to_pylist()
         got = list(map(known.get, distinct))
         new = sorted((k for k, x in enumerate(got) if x is None), key=lambda k: len(distinct[k]))
         while new:
@@ -367,18 +383,14 @@ class Encoder:
                 got[k] = known[distinct[k]] = ids
             new = new[len(part) :]
         index = coded.indices.to_numpy()
-        count = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        count = np.fromiter(map(len, got), np.int32, len(got)) >> 2
         flat = np.frombuffer(b"".join(got), np.uint32)
         first = np.cumsum(count) - count
-        n = count[index]
+        n = count.take(index)
         ends = np.cumsum(n)
-        ids = flat[np.repeat(first[index] - (ends - n), n) + np.arange(ends[-1])]
-        at = distinct.index(border)
-        stops = ends[index == at].tolist()
-        begin = 0
-        for stop in stops:
-            yield ids[begin:stop]
-            begin = stop
+        place = np.repeat(first.take(index) - (ends - n), n)
+        place += np.arange(ends[-1])
+        return flat.take(place), ends[index == distinct.index(border)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -394,32 +406,32 @@ def classes() -> np.ndarray:
     return out
 
 
-def pieces(text: str, n_bytes: int, table: np.ndarray) -> np.ndarray:
-    """Where pieces start, in bytes of UTF-8.
+def pieces(text: str, data: bytes, table: np.ndarray) -> np.ndarray:
+    """Where pieces start, in bytes of UTF-8 (data).
 
     A piece is a contraction ('s 't 're 've 'm 'll 'd), or a run of letters, of
     numbers or of other signs with one space before it if there is one, or
     white space: a run that something follows keeps its last character apart.
     BORDER characters stand alone and count as the end of the text.
     """
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = table[cp]
+    wide = text.encode("utf-16-le", "surrogatepass")
+    cp = np.frombuffer(wide, np.uint16) if len(wide) == 2 * len(text) else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = table.take(cp)
     new = np.empty(len(cp), bool)
     new[0] = True
     np.not_equal(kind[1:], kind[:-1], out=new[1:])
     new |= kind == BORDER
     runs = np.flatnonzero(new)
-    kinds = kind[runs]
-    after = np.append(kinds[1:], BORDER)
+    kinds = kind.take(runs)
+    after = np.append(kinds[1:], np.uint8(BORDER))
     ends = np.append(runs[1:], len(cp))
-    followed = (kinds == SPACE) & (after != BORDER)
-    tail = ends[followed] - 1
+    tail = ends.compress((kinds == SPACE) & (after != BORDER)) - 1
     new[tail] = True
-    new[tail[cp[tail] == 0x20] + 1] = False
-    quote = runs[(kinds == OTHER) & (after == LETTER) & (ends - runs == 1)]
+    new[tail.compress(cp.take(tail) == 0x20) + 1] = False
+    quote = runs.compress((kinds == OTHER) & (after == LETTER) & (ends - runs == 1))
     quote = quote[(cp[quote] == 0x27) & new[quote]]
     if len(quote):
-        padded = np.append(cp, [0, 0])
+        padded = np.append(cp, np.zeros(2, cp.dtype))
         one, two = padded[quote + 1], padded[quote + 2]
         short = np.isin(one, [ord(c) for c in "stmd"])
         long = ~short & ((((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
@@ -428,10 +440,10 @@ def pieces(text: str, n_bytes: int, table: np.ndarray) -> np.ndarray:
             stop = q + k
             new[stop[stop < len(cp)]] = True
     starts = np.flatnonzero(new)
-    if n_bytes == len(cp):
+    if len(data) == len(cp):
         return starts
-    width = 1 + (cp >= 0x80).astype(np.int32) + (cp >= 0x800) + (cp >= 0x10000)
-    return (np.cumsum(width) - width)[starts]
+    first_bytes = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return first_bytes.take(starts)
 
 
 _made: list[tuple[object, Encoder]] = []
