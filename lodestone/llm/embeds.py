@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +18,14 @@ THRESHOLD = 0.93
 FIT_SAMPLE = 20_000
 FIT_ROUNDS = 30
 SEED = 7
-#: Bits of a code, and tables that they are cut into.
-BITS, TABLES = 64, 5
-#: Vectors in a block, and differing bits beyond which vectors of cosine 0.93 hardly lie (7 or 8 are expected, and 12 if vectors have a cosine of 0.6 on average).
+BITS = 64
+#: Of pairs exactly at the threshold, the share that no table may bring together at most, and the pairs that are drawn to see.
+MOST_MISSED, DRAWN = 0.02, 4000
+#: Bits of a table: so many that its buckets hold about 2**-SPARE codes each on average, and at least LEAST_WIDTH.
+SPARE, LEAST_WIDTH = 1, 8
+MOST_TABLES = 400
+#: Vectors in a block.
 BLOCK_ROWS = 512
-MOST_BITS = 20
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +64,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _classes(vectors: DataFrame, sample: int) -> DataFrame:
-    """vectors (label, node, n, dim, v) with a 64-bit code each. Dimensions that the sample lacks get one code, and so are compared in full."""
+def _signs(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Codes of unit vectors."""
+    code = np.zeros(len(x), np.uint64)
+    signs = (x - mean) @ projection >= 0
+    for k in range(signs.shape[1]):
+        code |= signs[:, k].astype(np.uint64) << np.uint64(k)
+    return code
+
+
+def hamming_tables(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, width: int, threshold: float) -> tuple[list[int], int]:
+    """(masks, bits): the bits that each table compares, and the bits in which codes of linked vectors differ at most.
+
+    Pairs of cosine `threshold` are drawn: vectors of x and partners at that
+    angle in any direction, which is the hardest case that links. Tables of
+    `width` bits are drawn too, until all but MOST_MISSED of the pairs agree
+    in the bits of some table. The number of tables grows as a small power of
+    the number of vectors, as wider tables separate more.
+    """
+    rng = np.random.default_rng(SEED + 1)
+    base = x[rng.integers(0, len(x), DRAWN)]
+    noise = rng.standard_normal(base.shape)
+    noise -= (noise * base).sum(axis=1, keepdims=True) * base
+    norm = np.linalg.norm(noise, axis=1, keepdims=True)
+    partner = threshold * base + np.sqrt(max(0.0, 1 - threshold**2)) * np.divide(noise, norm, out=np.zeros_like(noise), where=norm > 0)
+    differ = _signs(base, mean, projection) ^ _signs(partner, mean, projection)
+    bits = projection.shape[1]
+    width = min(width, bits)
+    while True:
+        masks, missed = [], differ
+        while len(masks) < MOST_TABLES and len(missed) > MOST_MISSED * DRAWN:
+            masks.append(sum(1 << int(k) for k in rng.permutation(bits)[:width]))
+            missed = missed[missed & np.uint64(masks[-1]) != 0]
+        if len(missed) <= MOST_MISSED * DRAWN or width <= 1:
+            return masks or [(1 << width) - 1], int(np.bitwise_count(differ).max())
+        width -= 1  # codes of few bits can't be told apart so finely
+
+
+def _classes(vectors: DataFrame, sample: int, threshold: float) -> tuple[DataFrame, dict[int, tuple[list[int], int]]]:
+    """vectors (label, node, n, dim, v) with a 64-bit code each, and the tables of each dimension. Dimensions that the sample lacks get one code, and so are compared in full."""
     spark = vectors.sparkSession
     bounded = vectors.select("dim", "v", "node").orderBy(F.xxhash64("node"), "node").limit(sample).select("dim", "v").toPandas()
-    learned = {int(d): learn_rotation(_unit(np.array(g["v"].tolist(), np.float64)), BITS) for d, g in bounded.groupby("dim") if len(g) > 1}
+    most = vectors.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n"))
+    most = {r["dim"]: r["n"] for r in most.where(F.col("dim").isin([int(d) for d in bounded["dim"].unique()])).collect()}
+    learned, tables = {}, {}
+    for d, g in bounded.groupby("dim"):
+        if len(g) > 1:
+            x = _unit(np.array(g["v"].tolist(), np.float64))
+            learned[int(d)] = learn_rotation(x, BITS)
+            width = max(LEAST_WIDTH, int(most[d]).bit_length() + SPARE)
+            tables[int(d)] = hamming_tables(x, *learned[int(d)], width, threshold)
     shared = spark.sparkContext.broadcast(learned)
 
     def run(batches):
@@ -72,35 +122,26 @@ def _classes(vectors: DataFrame, sample: int) -> DataFrame:
             code = np.zeros(len(dims), np.uint64)
             for d in np.unique(dims).tolist():
                 if d in shared.value:
-                    mean, projection = shared.value[d]
                     at = np.flatnonzero(dims == d)
-                    signs = (_unit(_matrix(batch.column(4).take(pa.array(at)))) - mean) @ projection >= 0
-                    for k in range(signs.shape[1]):
-                        code[at] |= signs[:, k].astype(np.uint64) << np.uint64(k)
+                    code[at] = _signs(_unit(_matrix(batch.column(4).take(pa.array(at)))), *shared.value[d])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64))], [*batch.schema.names, "code"])
 
     fields = ", ".join(f"{c} {t}" for c, t in vectors.dtypes)
-    return vectors.mapInArrow(run, f"{fields}, code bigint")
-
+    return vectors.mapInArrow(run, f"{fields}, code bigint"), tables
 
-def _near_codes(classes: DataFrame, most: int) -> DataFrame:
-    """Pairs of different codes of a label that differ in two bits at most in a table and in `most` bits in all.
 
-    Each table leaves out two of its bits at a time: codes that agree but for
-    those then have equal keys. Bits beyond the dimension are in no table.
-    """
-    width = -(-BITS // TABLES)
-    left_out = [(i, j) for i in range(BITS) for j in range(i + 1, BITS) if i // width == j // width]
-    two = F.explode(F.array(*(F.lit(i * BITS + j) for i, j in left_out)))
-    masked = f"shiftrightunsigned(code, cast(floor(i / {width}) as int) * {width}) & {(1 << width) - 1}"
-    keys = classes.select("label", "dim", "code", two.alias("bit")).withColumns({"i": F.floor(F.col("bit") / BITS).cast("int"), "j": (F.col("bit") % BITS).cast("int")}).where("j < dim")
-    for bit in ("i", "j"):
-        masked = f"({masked}) & ~shiftleft(1L, {bit} % {width})"
-    keys = keys.withColumn("key", F.expr(masked)).drop("i", "j")
-    a = keys.withColumnRenamed("code", "code_a")
-    b = keys.withColumnRenamed("code", "code_b")
-    met = a.join(b, ["label", "dim", "bit", "key"]).where((F.col("code_a") < F.col("code_b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= most))
-    return met.select("label", "dim", "code_a", "code_b").distinct()
+def _near_codes(classes: DataFrame, tables: dict[int, tuple[list[int], int]]) -> DataFrame:
+    """Pairs of different codes of a label that agree in the bits of some table and differ in no more bits than linked vectors do."""
+    found = []
+    for d, (masks, most) in sorted(tables.items()):
+        each = [F.struct(F.lit(k).alias("t"), F.col("code").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for k, m in enumerate(masks)]
+        keys = classes.where(F.col("dim") == d).select("label", "dim", "code", F.explode(F.array(*each)).alias("x")).select("label", "dim", "code", "x.t", "x.key")
+        a, b = keys.withColumnRenamed("code", "code_a"), keys.withColumnRenamed("code", "code_b")
+        met = a.join(b, ["label", "dim", "t", "key"]).where((F.col("code_a") < F.col("code_b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= most))
+        found.append(met.select("label", "dim", "code_a", "code_b").distinct())
+    if not found:
+        return classes.select("label", "dim", F.col("code").alias("code_a"), F.col("code").alias("code_b")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = FIT_SAMPLE) -> DataFrame:
@@ -119,11 +160,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     node = F.xxhash64("label", "embedding")
     rows = vectors.select("vec_id", F.when(_usable(F.col("embedding")), node).alias("node"), "label", "embedding")
     nodes = rows.where("node is not null").groupBy("label", "node").agg(F.count("*").alias("n"), F.first("embedding").alias("v"), F.min("vec_id").alias("least"))
-    coded = cut(_classes(nodes.select("label", "node", "n", F.size("v").alias("dim"), "v", "least"), sample))
+    coded, tables = _classes(cut(nodes.select("label", "node", "n", F.size("v").alias("dim"), "v", "least")), sample, threshold)
+    coded = cut(coded)
     same = ["label", "dim", "code"]
     classes = cut(coded.groupBy(*same).agg(F.count("*").alias("members")))
     itself = classes.where("members > 1").select("label", "dim", F.col("code").alias("code_a"), F.col("code").alias("code_b"))
-    pairs = cut(itself.unionByName(_near_codes(classes, MOST_BITS)))
+    pairs = cut(itself.unionByName(_near_codes(classes, tables)))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(BLOCK_ROWS))).cast("int")
     blocks = coded.join(classes, same).groupBy(*same, chunk.alias("chunk")).agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("v").alias("vs"))
     blocks = cut(blocks)
