@@ -30,12 +30,14 @@ def bind(value: Column, body) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where driver and executors are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
@@ -47,30 +49,39 @@ def beside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     return packed, [F.col(f"`{c}`") if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns]
 
 
-#: A checkpoint has so many files for each core of the cluster at most.
-FILES_PER_CORE = 3
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, stored in the shared folder, without its lineage.
-
-    A partition becomes a file, and creating files costs more than the small
-    tables that are cut here; partitions beyond FILES_PER_CORE for each core
-    are read one after the other by one task, which streams them.
-    """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet below the shared folder and read again; more compact than cut()."""
+    """df, written as Parquet below the shared folder and read again: its lineage is cut, and what a lost executor held is read again.
+
+    Work before it keeps its own partitions; those without rows leave no file.
+    """
     folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+cut = stored
+
+#: A key with more than a thousandth of the rows is hot: of such keys there are a thousand at most.
+HOT_SHARE, HOT_ROWS = 1000, 100_000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined with groups, which has one row for each key and its number of rows in `rows` as column n.
+
+    A shuffled join would deal all rows of a hot key to one task, and Spark can't
+    split it where the groups were aggregated by the same key. So the groups of
+    keys with over a thousandth of all `total` rows, a thousand at most, are
+    broadcast; the rest are joined by key. Few rows need neither.
+    """
+    if total < HOT_ROWS:
+        return rows.join(groups, key)
+    hot = groups.where(F.col(n) * HOT_SHARE > total)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    met = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(n) * HOT_SHARE <= total), key)
+    return met.unionByName(rest)

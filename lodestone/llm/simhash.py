@@ -18,8 +18,10 @@ GENERATOR = 0b110001110101
 #: The 64 bits in three segments, each shorter than a codeword.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MOST_BITS = 4
-#: Groups above this size are linked by the exact ball join instead, which grows in proportion to them.
+#: Groups above this size are linked by the exact ball join instead, which grows in proportion to them and gives the same components.
 LARGE_GROUP = 32768
+#: Pairs that a task compares at a time, and fingerprints that a task decodes.
+PAIRS, DECODED = 1 << 20, 20_000
 
 
 def shingle_hashes(text: Column, shingle: int) -> Column:
@@ -137,23 +139,48 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links_in_groups(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the pairs with one key (sorted) that differ in most bits at most."""
-    got_a, got_b, held = [], [], 0
-    u = fp.view(np.uint64)
-    at = np.arange(len(key))
-    step = 1
-    while len(at):
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        near = at[np.bitwise_count(u[at] ^ u[at + step]) <= most]
-        got_a.append(fp[near])
-        got_b.append(fp[near + step])
-        held += len(near)
-        if held > 1 << 20:
-            a, b = forest(np.concatenate(got_a), np.concatenate(got_b))
-            got_a, got_b, held = [a], [b], 0
-        step += 1
-    return forest(np.concatenate([fp[:0], *got_a]), np.concatenate([fp[:0], *got_b]))
+    """A forest of the pairs with one key that differ in `most` bits at most.
+
+    Of most + 1 blocks that the 64 bits are cut into, two such fingerprints
+    agree in one: only those that agree in a block are compared, which leaves
+    of unlike ones in a group about one in two to the power of its bits. Alike
+    ones are taken out as they are linked: a block's members within half of
+    `most` bits of its first one need no look at each other.
+    """
+    got_a, got_b = [fp[:0]], [fp[:0]]
+    edges = np.linspace(0, 64, most + 2).astype(int).tolist()
+    for low, high in zip(edges, edges[1:], strict=False):
+        if not len(fp):
+            break
+        part = (fp.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.lexsort((part, key))
+        k, p, f = key[order], part[order], fp[order]
+        u = f.view(np.uint64)
+        new = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+        begins = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        hub = begins[group]
+        far = np.bitwise_count(u ^ u[hub])
+        link = (far <= most) & (hub != np.arange(len(f)))
+        got_a.append(f[link])
+        got_b.append(f[hub[link]])
+        # Two within most / 2 of the hub are connected through it; every other pair has one member beyond.
+        sizes = np.diff(np.append(begins, len(f)))
+        beyond = np.flatnonzero((2 * far.astype(np.int64) > most) & (sizes[group] > 2))
+        work = np.cumsum(sizes[group[beyond]])
+        cuts = np.unique(np.searchsorted(work, np.arange(PAIRS, int(work[-1]) + PAIRS, PAIRS), side="right")) if len(work) else []
+        first = 0
+        for last in [*cuts, len(beyond)]:
+            take = beyond[first : max(last, first + 1)]
+            first += len(take)
+            n = sizes[group[take]]
+            row = np.repeat(take, n)
+            other = np.repeat(hub[take] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            near = (row != other) & (np.bitwise_count(u[row] ^ u[other]) <= most)
+            a, b = forest(f[row[near]], f[other[near]])
+            got_a.append(a)
+            got_b.append(b)
+    return forest(np.concatenate(got_a), np.concatenate(got_b))
 
 
 def linked(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
@@ -197,7 +224,8 @@ def linked(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
             held_k, held_f = [k], [f]
         yield out(*links_in_groups(np.concatenate([empty[:0].astype(np.int32), *held_k]), np.concatenate([empty, *held_f]), most), False)
 
-    keyed = distinct.select("fp").mapInArrow(keys, "key int, fp bigint")
+    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // DECODED))
+    keyed = distinct.select("fp").repartition(parts).mapInArrow(keys, "key int, fp bigint")
     found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint, hot boolean").distinct())
     edges = found.where("not hot").select("a", "b")
     hot = found.where("hot").select(F.col("a").alias("fp"))
@@ -205,19 +233,24 @@ def linked(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def ball_links(distinct: DataFrame, most: int) -> DataFrame:
-    """The same for any number of alike fingerprints, in proportion to them: two differ in at most 2r bits if and only if
-    the balls of radius r around them meet, so every point of a ball links its fingerprint to the least with that point."""
-    if most % 2:
-        raise ValueError("an even number of bits")
-    masks = np.array([sum(1 << p for p in places) for r in range(most // 2 + 1) for places in combinations(range(64), r)], np.uint64)
+    """The same for any number of alike fingerprints, in proportion to them.
+
+    Two differ in at most r + s bits if and only if the ball of radius r around
+    one meets the ball of radius s around the other. With r and s the halves of
+    `most`, s the larger, every point of an outer ball links its fingerprint to
+    the least whose inner ball has that point.
+    """
+    inner, outer = most // 2, most - most // 2
+    masks = np.array([sum(1 << p for p in places) for r in range(outer + 1) for places in combinations(range(64), r)], np.uint64)
+    near = np.bitwise_count(masks) <= inner
 
     def balls(batches):
         for batch in batches:
             for f in batch.column(0).to_numpy(zero_copy_only=False):
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(f).view(np.uint64) ^ masks).view(np.int64)), pa.array(np.full(len(masks), f))], ["point", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(f).view(np.uint64) ^ masks).view(np.int64)), pa.array(np.full(len(masks), f)), pa.array(near)], ["point", "fp", "near"])
 
-    points = distinct.select("fp").mapInArrow(balls, "point bigint, fp bigint")
-    least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    points = distinct.select("fp").mapInArrow(balls, "point bigint, fp bigint, near boolean")
+    least = points.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").drop("n")
     return points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
@@ -229,7 +262,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = MOST_BITS) ->
     blank text has fingerprint zero and links like any other. component_id is
     the least doc_id reachable through links of at most `most` differing bits;
     null doc_ids are skipped unless a component has no other. Repeated rows
-    stay. Other columns of docs are not read.
+    stay; texts may be of any length. Fingerprints are compared exactly. Other
+    columns of docs are not read.
     """
     fps = cut(fingerprints(docs, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

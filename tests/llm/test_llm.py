@@ -105,19 +105,46 @@ def test_line_dedup(docs, rows, nothing):
     assert lines.deduplicated(docs).columns == docs.columns
 
 
-def test_twice_seen_never_misses(spark):
+@pytest.mark.parametrize("segments", [1, 8])
+def test_twice_seen_never_misses(spark, segments):
     rng = np.random.default_rng(1)
-    single, double = rng.integers(-(2**62), 2**62, 4000), rng.integers(-(2**62), 2**62, 500)
-    values = np.concatenate([single, double, double]).tolist()
-    df = spark.createDataFrame([(values[k : k + 7],) for k in range(0, len(values), 7)], "hashes array<long>").repartition(6)
-    bits = 18
-    bloom = np.unpackbits(np.frombuffer(lines.twice_seen(df, bits), np.uint8)).astype(bool)
-    hit = lambda x: bloom[lines._places(x, bits)].reshape(2, -1).all(axis=0)
-    assert hit(double).all() and hit(single).mean() < 0.02
+    single, double, many = (rng.integers(-(2**62), 2**62, n) * 2 for n in (4000 * segments, 500, 100))
+    values = [(v, False) for v in np.concatenate([single, double, double]).tolist()] + [(v, True) for v in many.tolist()]
+    df = spark.createDataFrame(values, "h long, many boolean").repartition(6)
+    bloom = {r.segment: np.frombuffer(r.bits, np.uint8) for r in lines.twice_seen(df, segments).collect()}
+
+    def hit(x):
+        u = x.view(np.uint64)
+        segment = lines._segment(u, segments)
+        return np.array([lines._seen(u[k : k + 1], bloom[int(s)])[0] for k, s in enumerate(segment)])
+
+    assert len(bloom) == segments and hit(double).all() and hit(many).all() and hit(single).mean() < 0.02
 
 
 def test_twice_seen_of_nothing(spark):
-    assert not any(lines.twice_seen(spark.createDataFrame([], "hashes array<long>"), 18))
+    assert lines.twice_seen(spark.createDataFrame([], "h long, many boolean"), 1).count() == 0
+
+
+def test_line_dedup_without_broadcast(spark, docs, rows):
+    """Lines that go to the filters' segments give the same as filters that are broadcast."""
+    sort = lambda df: sorted((tuple(r) for r in df.select("doc_id", "n_lines", "n_dropped", "kept_text").collect()), key=str)
+    assert sort(lines.drop_repeated_lines(docs, most_broadcast=0)) == sort(lines.drop_repeated_lines(docs))
+    given = docs.selectExpr("doc_id", "text", "xxhash64(text) AS tag")
+    hashes = given.select("text").collect()
+    keys = [k for r in hashes for k in {x.strip(" \t\n\x0b\f\r").translate(LOW) for x in (r.text or "").split("\n")} if len(k) >= 40]
+    seen = spark.createDataFrame([(xxhash.xxh64_intdigest(k.encode()) - (1 << 64 if xxhash.xxh64_intdigest(k.encode()) >> 63 else 0), False) for k in keys], "h long, many boolean")
+    filters = lines.twice_seen(seen, 8).cache()
+    a, b = (sorted(map(str, lines._suspects(given, filters, 8, 40, most).collect())) for most in (8, 0))
+    assert a and set(a) == set(b)
+
+
+def test_line_dedup_of_many_repeated_lines(spark):
+    """Documents of 20,000 repeated lines, and lines of any length."""
+    many = "\n".join(f"A line that many documents hold, number {k:06d}." for k in range(20_000))
+    long = "x" * 300_000
+    rows = [(k, f"{many}\nown line {k}\n{long}") for k in range(6)]
+    out = {r.doc_id: r for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[k].kept_text == f"own line {k}" and out[k].n_dropped == 20_001 for k in range(5)) and out[5].kept_text == rows[5][1] and out[5].n_dropped == 0
 
 
 def fingerprint(text):
@@ -189,6 +216,37 @@ def test_golay_links_are_complete(spark, monkeypatch, large):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+@pytest.mark.parametrize("large", [32768, 20])
+def test_links_of_fewer_bits(spark, monkeypatch, most, large):
+    """Any number of bits gives the same components, whichever way a group is linked."""
+    monkeypatch.setattr(simhash, "LARGE_GROUP", large)
+    fp = near_fingerprints(200, 5)
+    u = fp.view(np.uint64)
+    want = partition(fp, [(fp[i], fp[j]) for i in range(len(fp)) for j in range(i) if int(u[i] ^ u[j]).bit_count() <= most])
+    df = spark.createDataFrame([(int(f),) for f in fp], "fp long")
+    assert partition(fp, [(r.a, r.b) for r in simhash.linked(df, most).collect()]) == want
+
+
+@pytest.mark.parametrize("most", [3, 4])
+def test_ball_links(spark, most):
+    fp = near_fingerprints(120, 8)
+    u = fp.view(np.uint64)
+    want = partition(fp, [(fp[i], fp[j]) for i in range(len(fp)) for j in range(i) if int(u[i] ^ u[j]).bit_count() <= most])
+    df = spark.createDataFrame([(int(f),) for f in fp], "fp long")
+    assert partition(fp, [(r.a, r.b) for r in simhash.ball_links(df, most).collect()]) == want
+
+
+def test_links_in_one_group():
+    """A group's forest against all pairs, with more comparisons than go at a time."""
+    fp = near_fingerprints(3000, 9)
+    key = (np.arange(len(fp)) >= 1500).astype(np.int32)
+    u = fp.view(np.uint64)
+    pairs = [(i, j) for lo, hi in ((0, 1500), (1500, len(fp))) for i, j in zip(*np.nonzero(np.bitwise_count(u[lo:hi, None] ^ u[None, lo:hi]) <= 4), strict=True) for i, j in [(i + lo, j + lo)] if i < j]
+    want = partition(fp, [(fp[i], fp[j]) for i, j in pairs])
+    assert partition(fp, zip(*(x.tolist() for x in simhash.links_in_groups(key, fp, 4)), strict=True)) == want
+
+
 def test_golay_pairs_share_keys():
     rng = np.random.default_rng(2)
     fp = rng.integers(-(2**63), 2**63, 300)
@@ -209,6 +267,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_star(spark, monkeypatch):
+    """A node with most of the edges, whose rows are broadcast its least node."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    edges = [(7, k) for k in range(1000, 3000)] + [(k, k + 1) for k in range(5000, 5050)] + [(2999, 5000)]
+    want = partition({x for e in edges for x in e}, edges)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.Encoder(bpe.Vocabulary(entries.tokenizer_path()))
@@ -299,6 +368,26 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_of_equal_rows(spark):
+    """A source of equal rows comes near its target too: whole copies are spread over them; other columns may differ."""
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, text, "a", k % 7) for k in range(400)] + [(2 + k, "x " * 25, "b", 0) for k in range(120)] + [(None, text, None, 0)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(3)
+    out = mixing.mix(df).toPandas()
+    assert int(out["rows"].sum()) == len(rows) and out.copies.max() <= 3
+    taken = {}
+    for s, g in out.groupby("source", dropna=False):
+        taken[s] = (g.copies * g["size"] * g["rows"]).sum()
+        assert abs(taken[s] - g.target.iloc[0]) <= g["size"].max(), s
+    assert out[out.source == "a"].copies.nunique() == 2
+    again = mixing.mixed(df)
+    assert again.columns == df.columns
+    sizes = Counter()
+    for r in again.collect():
+        sizes[r.source] += len(words(r.text))
+    assert sizes == {s if isinstance(s, str) else None: n for s, n in taken.items() if n}
+
+
 def test_mixing_in_many_blocks(spark, monkeypatch):
     """The tree has several levels and still meets its target."""
     monkeypatch.setattr(mixing, "BLOCK", 8)
@@ -327,16 +416,30 @@ def test_urls(spark):
 def test_propagation(spark):
     rng = np.random.default_rng(0)
     m = (rng.random((12, 12)) < 0.2) & ~np.eye(12, dtype=bool)
+    m[4] = m[:, 5] = False
     good, bad = np.zeros(12), np.zeros(12)
     good[:2], bad[-3:] = 0.5, 1 / 3
     w, r = m / np.maximum(1, m.sum(1, keepdims=True)), m / np.maximum(1, m.sum(0, keepdims=True))
     t, d = good.copy(), bad.copy()
     for _ in range(urls.ROUNDS):
-        t, d = 0.15 * good + 0.85 * (t @ w), 0.15 * bad + 0.85 * (r @ d)
+        # What no link carries on returns to the seeds.
+        t, d = (0.15 * t.sum() + 0.85 * t[m.sum(1) == 0].sum()) * good + 0.85 * (t @ w), (0.15 * d.sum() + 0.85 * d[m.sum(0) == 0].sum()) * bad + 0.85 * (r @ d)
     edges = spark.createDataFrame([(str(i), str(j), float(w[i, j]), float(r[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "src string, dst string, w double, r double")
     seeds = spark.createDataFrame([(str(k), float(good[k]), float(bad[k])) for k in range(12)], "host string, good double, bad double")
     got = {int(x.host): (x.trust, x.distrust) for x in urls.propagate(edges, seeds).collect()}
     assert np.allclose([got[k] for k in range(12)], np.stack([t, d], 1))
+    assert np.isclose(t.sum(), 1) and np.isclose(d.sum(), 1) and (m.sum(1) == 0).any() and (m.sum(0) == 0).any()
+    left = 0.85 * np.abs(t @ w - ((t - (0.15 * t.sum() + 0.85 * t[m.sum(1) == 0].sum()) * good) / 0.85)).sum()
+    assert left < 1e-4  # the scores have settled
+
+
+def test_host_that_most_pages_share(spark):
+    """A hot host, very long html and links to hosts without pages."""
+    long = "<p>" + "x " * 200_000 + "<a href='https://bad.net/fr/'>"
+    given = [(k, f"https://hot.com/{k}", None) for k in range(500)] + [(1000, "https://bad.net/fr/1", None), (1001, "https://far.org/1", long), (1002, "https://far.org/2", "<a href=//nowhere.example/>")]
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, round(r.trust, 6), round(r.distrust, 6)) for r in urls.judge(df).collect()}
+    assert got[0] == ("allow", 3.0, 0.0) and got[1001][0] == got[1002][0] == "block" and got[1001][2] > 1
 
 
 def test_licenses(docs, rows, nothing):
@@ -506,6 +609,120 @@ def test_pipeline_stages(spark, docs, nothing, tmp_path, library):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "source_mixing", "bpe_round_trip"]
 
 
+def test_operators_beside_clashing_columns(spark, rows):
+    """Columns of the documents that are named like an operator's own don't disturb it."""
+    from pyspark.sql import functions as F
+
+    plain = spark.createDataFrame(rows, COLUMNS)
+    names = ["size", "copies", "rows", "one", "id", "node", "ids", "fp", "a", "b", "key", "start", "part", "doc", "at", "n", "w", "h"]
+    extra = plain.withColumns({c: F.lit("clash") for c in names if c not in plain.columns})
+    calls = (mixing.mix, simhash.near_duplicates, substrings.shared_passages, lambda d: bpe.round_trip(d, entries.tokenizer_path()), lambda d: tokens.token_digest(d, entries.tokenizer_path()))
+    for call in calls:
+        assert sorted(map(str, call(extra).collect())) == sorted(map(str, call(plain).collect()))
+
+
+def test_passages_of_text_ids(spark):
+    """Ids of any type, and copies as one document."""
+    rng = random.Random(4)
+    p = [f"u{rng.random()}" for _ in range(70)]
+    fresh = lambda n: [f"v{rng.random()}" for _ in range(n)]
+    rows = [("b", " ".join(p + fresh(30))), ("a", " ".join(fresh(20) + p)), ("c", " ".join(fresh(90))), (None, " ".join(p))]
+    rows += [("copy2", rows[2][1]), ("copy1", rows[2][1])]
+    out = substrings.shared_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    got = {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in out}
+    assert got == {("b", "a", 0, 70, 20, 90), ("copy1", "c", 0, 90, 0, 90), ("copy2", "c", 0, 90, 0, 90)}
+
+
+def test_every_shared_run_is_linked(spark):
+    """Brute force over all runs of 50 words: the documents that hold one are connected by passages that hold it, whatever
+    pieces of it earlier documents have, and also where it stands in very many documents."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    p, q, s, hot, stock = fresh(200), fresh(75), fresh(64), fresh(80), fresh(14)
+    pieces = [p[k : k + 30] for k in range(0, 200, 30)]
+    rng.shuffle(pieces)
+    held = [sum(pieces, []), fresh(30) + p + fresh(30), fresh(20) + p + fresh(10), sum(pieces[::-1], []), fresh(25) + p[:120] + fresh(25) + p[60:] + fresh(5)]
+    held += [fresh(5) + q[k : k + 25] + fresh(5) + q[k + 13 : k + 38] for k in range(0, 50, 5)] + [fresh(20) + q + fresh(9), q + fresh(40)]
+    held += [fresh(9) + s[:40] + fresh(3), s[20:] + fresh(8), s + fresh(9), fresh(7) + s, fresh(60) + s]
+    held += [fresh(rng.randrange(30)) + stock + fresh(10) + hot[k % 9 : 80 - k % 7] + fresh(12) + stock for k in range(45)]
+    held += [fresh(40) + held[1] + fresh(3), held[1], held[-1]]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(held)], "doc_id long, text string").repartition(5)
+    passages = substrings.shared_passages(df).collect()
+    runs = defaultdict(lambda: defaultdict(list))
+    for d, w in enumerate(held):
+        for k in range(len(w) - 49):
+            runs[tuple(w[k : k + 50])][d].append(k)
+    shared = {r: at for r, at in runs.items() if len(at) > 1}
+    assert len(shared) > 300
+    inside = lambda at, a, b: any(a <= k and k + 50 <= b for k in at)
+    for at in shared.values():
+        edges = [(x.doc_id, x.other_id) for x in passages if x.doc_id in at and x.other_id in at and inside(at[x.doc_id], x.start, x.end) and inside(at[x.other_id], x.other_start, x.other_end)]
+        assert len(set(partition(at, edges).values())) == 1
+    for r in passages:
+        a, b = held[r.doc_id][r.start : r.end], held[r.other_id][r.other_start : r.other_end]
+        assert r.other_id < r.doc_id and min(len(a), len(b)) >= 50 and 0.8 * max(len(a), len(b)) <= r.n_equal <= min(len(a), len(b))
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, library):
+    """run() on a small table against the stages written out in Python: which rows come out, how often, and their texts' ids."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    sentence = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n)).capitalize() + "."
+    stock = "This very sentence stands in many of the documents of the table."
+    rows = []
+    for k in range(60):
+        text = "\n".join([sentence(rng.randrange(15, 40)) for _ in range(rng.randrange(1, 5))] + ([stock] if k % 4 == 0 else []))
+        rows.append((k, text, "en", rng.choice(["a", "b", None]), len(text)))
+    rows += [(100 + k, rows[k][1], "en", "a", rows[k][4]) for k in range(5)] + [(200, None, None, None, None), (201, "", "en", "b", 0), (202, "Home | About | Contact\n" * 9, "en", "b", 9), (203, sentence(30) + "\nRead more", "en", "a", 9)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    def plain_fails(line):
+        return not line.rstrip().endswith((".", "!", "?")) and not (len(line) >= 60 and ". " in line) or line.count("|") > 1
+
+    docs = {}
+    for i, text, _, source, _ in rows:  # quality rules
+        n, _, _, _, again = base_counts(text)
+        kept = [x for x in (text or "").split("\n") if not words(x) or not plain_fails(x)]
+        lost = sum(len(w) for x in (text or "").split("\n") if words(x) and plain_fails(x) for w in words(x))
+        if n >= 20 and 100 * again <= 30 * n and lost <= 0.5 * sum(map(len, words(text))):
+            docs[i] = ("\n".join(kept), source)
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOW)
+    holders = defaultdict(set)
+    for i, (text, _) in docs.items():  # line dedup
+        for x in text.split("\n"):
+            holders[key(x)].add(i)
+    gone = lambda i, x: len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and max(holders[key(x)]) != i
+    docs = {i: ("\n".join(x for x in text.split("\n") if not gone(i, x)), source) for i, (text, source) in docs.items()}
+    fps = {i: fingerprint(text) for i, (text, _) in docs.items()}  # SimHash near-dedup
+    part = partition(docs, [(i, j) for i in docs for j in docs if i < j and (fps[i] ^ fps[j]).bit_count() <= 4])
+    docs = {i: d for i, d in docs.items() if part[i] == i}
+    size = Counter()
+    for text, source in docs.values():  # mixing: how often each source's words are taken
+        size[source] += len(words(text))
+    assert set(i for i, _, _ in got) <= set(docs)
+    taken = Counter()
+    for (i, n, ids), times in got.items():
+        want = library.encode(docs[i][0], add_special_tokens=False).ids
+        assert n == len(want) and ids == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and times <= 3
+        taken[docs[i][1]] += times * len(words(docs[i][0]))
+    names = sorted(size, key=lambda x: (x is None, x or ""))
+    weight, capped = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}, set()
+    while True:
+        rest = sum(size.values()) - sum(3 * size[x] for x in capped)
+        aim = {x: 3 * size[x] if x in capped else rest * weight[x] / sum(weight[y] for y in names if y not in capped) for x in names}
+        if not (new := {x for x in names if x not in capped and aim[x] > 3 * size[x]}):
+            break
+        capped |= new
+    most = max(len(words(text)) for text, _ in docs.values())
+    assert all(abs(taken[x] - aim[x]) <= most + 1 for x in names)
+    share = {x: aim[x] / size[x] for x in names}
+    times = Counter()
+    for (i, _, _), n in got.items():
+        times[i] += n
+    assert all(int(share[s] + 1e-9) <= times[i] <= int(share[s] + 1e-9) + 1 for i, (text, s) in docs.items() if words(text))
+
+
 def test_stages_keep_clashing_columns(spark, rows):
     """Columns of the documents that are named like an operator's own come through unchanged."""
     from pyspark.sql import functions as F
