@@ -96,8 +96,10 @@ def url_filters() -> str:
         host, tail = name.split("/", 1)
         rule = f"CASE WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{tail}') THEN '{name}' ELSE {rule} END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urls.RULES) + " END"
+    d = f"{urls.DAMPING}::DOUBLE"
+    rest = lambda flows, c, k: f"(SELECT sum(CASE WHEN {flows} THEN 1 - {d} ELSE 1 END * {c}) FROM s{k} JOIN flows USING (host))"
     rounds = ",\n".join(
-        f"s{k + 1} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT host, {1 - urls.DAMPING}::DOUBLE * good AS trust, {1 - urls.DAMPING}::DOUBLE * bad AS distrust FROM seeds UNION ALL SELECT dst, {urls.DAMPING}::DOUBLE * along * trust, {urls.DAMPING}::DOUBLE * back * distrust FROM s{k} JOIN way USING (host)) GROUP BY host)"
+        f"s{k + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT host, {rest('gives', 'trust', k)} * good AS trust, {rest('takes', 'distrust', k)} * bad AS distrust FROM seeds UNION ALL SELECT dst, {d} * along * trust, {d} * back * distrust FROM s{k} JOIN way USING (host)) GROUP BY host)"
         for k in range(urls.ROUNDS)
     )
     return f"""
@@ -113,9 +115,10 @@ seeds AS (SELECT host, CASE WHEN hosts.good THEN 1.0::DOUBLE / total.good ELSE 0
 pairs AS (SELECT host AS src, dst, count(*)::DOUBLE AS n FROM (SELECT host, unnest(links) AS dst FROM ruled) WHERE host <> dst AND dst IN (SELECT host FROM hosts) GROUP BY 1, 2),
 edges AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w, n / sum(n) OVER (PARTITION BY dst) AS v FROM pairs),
 way AS (SELECT src AS host, dst, w AS along, 0.0::DOUBLE AS back FROM edges UNION ALL SELECT dst, src, 0.0::DOUBLE, v FROM edges),
+flows AS (SELECT host, host IN (SELECT src FROM edges) AS gives, host IN (SELECT dst FROM edges) AS takes FROM hosts),
 s0 AS (SELECT host, good AS trust, bad AS distrust FROM seeds),
 {rounds},
-scaled AS (SELECT host, trust * hosts / {1 - urls.DAMPING}::DOUBLE AS trust, distrust * hosts / {1 - urls.DAMPING}::DOUBLE AS distrust FROM s{urls.ROUNDS}, total)
+scaled AS (SELECT host, trust * hosts AS trust, distrust * hosts AS distrust FROM s{urls.ROUNDS}, total)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust >= {urls.BLOCK_AT} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust
 FROM ruled JOIN scaled USING (host)"""
 
