@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 
 LETTER, NUMBER, OTHER, SPACE, BORDER = 0, 1, 2, 3, 4
-#: Lone surrogates can't occur in a text; they stand for the end of a document and for the special token.
-END, SPECIAL = "\ud800", "\ud801"
+#: Lone surrogates can't occur in a text; they stand for the end of a document and, from SPECIAL on, for the special tokens.
+END, SPECIAL, MOST_SPECIAL = "\ud800", 0xD801, 2000
 #: Characters that are encoded at a time, and whose pieces are found at a time.
 CHUNK, PART = 1 << 23, 1 << 19
 MOST_WORDS = 400_000
@@ -42,6 +42,23 @@ def _byte_chars() -> dict[str, int]:
     return out | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def _special_tokens(added: list[dict]) -> dict[str, int]:
+    """content -> id. Tokens that take spaces with them, stand for whole words only or overlap with each other are refused, as they would need more than replacement."""
+    out = {x["content"]: x["id"] for x in added}
+    if len(out) > MOST_SPECIAL or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("special tokens with options, or too many of them")
+    for a in out:
+        for b in out:
+            if a != b and (a in b or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b))))):
+                raise ValueError(f"special tokens {a!r} and {b!r} overlap")
+    return out
+
+
+def special_sign(k: int) -> str:
+    """What stands for the k-th special token in a text."""
+    return chr(SPECIAL + k)
+
+
 class Lookup:
     """Many integer keys looked up at once, by open addressing; -1 for absent ones."""
 
@@ -83,7 +100,7 @@ class Vocabulary:
             spec = json.load(f)
         chars, vocab = _byte_chars(), spec["model"]["vocab"]
         raw = {t: bytes(chars[c] for c in t) for t in vocab if all(c in chars for c in t)}
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        special = _special_tokens(spec["added_tokens"])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         made = {a + b for a, b in merges}
         base = sorted((t for t in raw if t not in made and t not in special), key=vocab.get)
@@ -354,8 +371,8 @@ class Encoder:
                 size += len(texts[k])
                 k += 1
             joined = END.join(texts[begin:k]) + END
-            for name in self.v.special:
-                joined = joined.replace(name, SPECIAL)
+            for j, name in enumerate(self.v.special):
+                joined = joined.replace(name, special_sign(j))
             data = joined.encode("utf-8", "surrogatepass")
             offsets.append(pieces(joined, data, self.classes).astype(np.int32) + np.int32(at))
             datas.append(data)
@@ -367,8 +384,8 @@ class Encoder:
             known.clear()
         border = END.encode("utf-8", "surrogatepass")
         known[border] = b"" if end is None else pack("I", end)
-        for i in self.v.special.values():
-            known[SPECIAL.encode("utf-8", "surrogatepass")] = pack("I", i)
+        for j, i in enumerate(self.v.special.values()):
+            known[special_sign(j).encode("utf-8", "surrogatepass")] = pack("I", i)
         distinct = coded.dictionary.to_pylist()
         got = list(map(known.get, distinct))
         new = sorted((k for k, x in enumerate(got) if x is None), key=lambda k: len(distinct[k]))
@@ -402,7 +419,7 @@ def classes() -> np.ndarray:
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     for a, b in WHITE_SPACE:
         out[a : b + 1] = SPACE
-    out[ord(END)] = out[ord(SPECIAL)] = BORDER
+    out[ord(END) : SPECIAL + MOST_SPECIAL] = BORDER
     return out
 
 
@@ -468,8 +485,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     n_tokens, ids_sha256 (of the decimal ids joined by commas) and
     decoded_sha256 (of the decoded text in UTF-8), a row for each row of docs.
     A null text counts as empty and has no tokens; a null doc_id stays null;
-    repeated rows stay; other columns are not read. Special tokens that stand
-    in a text become their ids, as the library does it.
+    repeated rows stay; texts may be of any length; other columns are not read.
+    Special tokens that stand in a text become their ids, as the library does it.
     """
     shared = share(docs.sparkSession, path)
 

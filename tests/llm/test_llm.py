@@ -77,7 +77,7 @@ def test_quality(docs, rows, nothing):
 
 
 def test_line_rules(spark):
-    given = [("Prose that ends well.", False), ("Prose without an end", True), ("Home | About | Contact.", True), ("Please read our privacy policy.", True), ("Read more.", True), ("a# b# c.", True), ("WHAT!! IS!! THIS!!", True), ("He said: “yes.”", False)]
+    given = [("Prose that ends well.", False), ("Prose without an end", True), ("Home | About | Contact.", True), ("Please read our privacy policy.", True), ("Read more.", True), ("a# b# c.", True), ("WHAT!! IS!! THIS!!", True), ("He said: “yes.”", False), ("Weiterlesen", True), ("Zur vorherigen und zur NÄCHSTE SEITE.", True), ("Toda la PÁGINA SIGUIENTE.", True), ("Tous droits RÉSERVÉS par la maison.", True), ("Lies unsere Datenschutzerklärung.", True), ("Wir lesen auf der nächsten Seite weiter.", False)]
     df = spark.createDataFrame(given, "line string, fails boolean")
     from pyspark.sql import functions as F
 
@@ -303,6 +303,28 @@ def test_bpe_is_exact(coder, library, rows):
     assert all(coder.piece(w) == coder.many([w])[0] for w in list(words_only)[:500])
 
 
+def test_bpe_of_several_special_tokens(tmp_path, coder):
+    """A vocabulary with two more special tokens, against the library; those with options are refused."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(entries.tokenizer_path(), encoding="utf-8"))
+    most = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])]) + 1
+    plain = dict.fromkeys(("single_word", "lstrip", "rstrip", "normalized"), False) | {"special": True}
+    spec["added_tokens"] += [{"id": most + k, "content": c} | plain for k, c in enumerate(("<a>", "[SEP]"))]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    library, mine = Tokenizer.from_file(str(tmp_path / "t.json")), bpe.Encoder(bpe.Vocabulary(str(tmp_path / "t.json")))
+    texts = ["x <a> y", "<a>[SEP]<a>", " [SEP]  <|endoftext|>\n", "<a", "a><a>>", "no token", ""]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in mine.encode(texts)] == want
+    assert [mine.decode(w) for w in want] == [library.decode(w, skip_special_tokens=False) for w in want]
+    for bad in ({"content": "<b>", "lstrip": True}, {"content": "a><"}):
+        (tmp_path / "u.json").write_text(json.dumps(spec | {"added_tokens": [*spec["added_tokens"], {"id": most + 9} | plain | bad]}))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / "u.json"))
+
+
 def test_bpe_query(docs, rows, nothing, library):
     got = sorted((tuple(r) for r in bpe.round_trip(docs, entries.tokenizer_path()).collect()), key=str)
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -454,16 +476,24 @@ def test_licenses(docs, rows, nothing):
             found = [k for k in range(len(ws)) if ws[k : k + len(p)] == p]
             at += found
             base |= {label} if found else set()
-        for line in text.split("\n"):
-            b = set(split.findall(line))
-            for label, t in licenses.TEMPLATES:
-                t = licenses._template_words(t)
-                if len(t & b) >= 0.8 * len(t) - 1e-9:
+        for label, t in licenses.TEMPLATES:
+            n, t = licenses.block_size(t), licenses._template_words(t)
+            for k in (k for k, w in enumerate(ws) if w in t):
+                share = len(t & set(ws[k : k + n]))
+                if share >= 0.8 * len(t) - 1e-9:
                     more.add(label)
-                    best = max(best, len(t & b) / len(t))
+                    best = max(best, share / len(t))
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(ws), len(at), min(at, default=None), max(at, default=None))
         assert (r.base_labels, r.labels, r.score) == (",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if at else best)
     assert {"apache,mit", "cc-by"} <= {r.labels for r in out}
+    import textwrap
+
+    for k, (label, text) in enumerate(licenses.TEMPLATES):  # notices as files carry them, among other words
+        wrapped = "\n".join(" * " + x for x in textwrap.wrap(text, 40))
+        given = [(k, prose(random.Random(k), 300) + "\n" + wrapped + "\n" + prose(random.Random(k + 1), 300)), (k + 100, " ".join(w + " " + prose(random.Random(3), 9) for w in text.split()))]
+        got = {r.doc_id: (r.labels, r.score, r.blocks) for r in licenses.scan(docs.sparkSession.createDataFrame(given, "doc_id long, text string")).collect()} if k in (1, 9, 13) else None
+        if got:
+            assert label in got[k][0] and got[k][1] == 1.0 and any(x.word == 300 and x.score == 1 for x in got[k][2]) and got[k + 100][2] == []
     assert licenses.scan(nothing).count() == 0
 
 
