@@ -18,11 +18,23 @@ ENDINGS = ".!?:;,…。！？։؟।'\"”’»)]"
 INNER_ENDS, INNER_LENGTH = (". ", "! ", "? "), 60
 #: if it is short and closes with a navigation phrase or strings parts together with these marks,
 NAVIGATION_LENGTH = 80
-NAVIGATION = r"(^|[\x20\x09-\x0D])(?i:home|menu|login|sign in|sign up|next page|previous page|read more|click here|share this)[.!]?[\x20\x09-\x0D]*$"
+NAVIGATION_PHRASES = {
+    "en": ("home", "menu", "login", "sign in", "sign up", "next page", "previous page", "read more", "click here", "share this"),
+    "de": ("startseite", "menü", "anmelden", "registrieren", "nächste seite", "vorherige seite", "weiterlesen", "mehr lesen", "hier klicken", "teilen"),
+    "es": ("inicio", "menú", "iniciar sesión", "regístrate", "registrarse", "página siguiente", "página anterior", "leer más", "haz clic aquí", "compartir"),
+    "fr": ("accueil", "menu", "connexion", "se connecter", "s'inscrire", "page suivante", "page précédente", "lire la suite", "cliquez ici", "partager"),
+}
+NAVIGATION = r"(^|[\x20\x09-\x0D])(?iu:" + "|".join(dict.fromkeys(p for each in NAVIGATION_PHRASES.values() for p in each)) + r")[.!]?[\x20\x09-\x0D]*$"
 MARKS = r"[^|›»>]*[|›»>][^|›»>]*[|›»>][\s\S]*"
 #: or if it isn't a long paragraph and holds one of these phrases in any case.
 BOILERPLATE_LENGTH = 240
-BOILERPLATE = ("cookie policy", "uses cookies", "use cookies", "enable javascript", "javascript is disabled", "all rights reserved", "terms of use", "terms of service", "privacy policy", "lorem ipsum", "subscribe to our newsletter", "powered by")
+BOILERPLATE_PHRASES = {
+    "en": ("cookie policy", "uses cookies", "use cookies", "enable javascript", "javascript is disabled", "all rights reserved", "terms of use", "terms of service", "privacy policy", "lorem ipsum", "subscribe to our newsletter", "powered by"),
+    "de": ("cookie-richtlinie", "verwendet cookies", "verwenden cookies", "javascript aktivieren", "javascript ist deaktiviert", "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "newsletter abonnieren"),
+    "es": ("política de cookies", "utiliza cookies", "utilizamos cookies", "activar javascript", "habilitar javascript", "todos los derechos reservados", "términos de uso", "condiciones de uso", "política de privacidad", "suscríbete a nuestro"),
+    "fr": ("politique de cookies", "utilise des cookies", "utilisons des cookies", "activer javascript", "tous droits réservés", "conditions d'utilisation", "conditions générales", "politique de confidentialité", "abonnez-vous à notre"),
+}
+BOILERPLATE = tuple(p for each in BOILERPLATE_PHRASES.values() for p in each)
 #: At least this share of a line's words holding one of the symbols, or ending in doubled exclamation marks, makes it no prose.
 SYMBOL_WORD = r"[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)[^\x20\x09-\x0D]*"
 SYMBOL_SHARE = 0.3
@@ -83,6 +95,7 @@ def judge(docs: DataFrame) -> DataFrame:
     docs with these names are replaced. A null or blank text has no words:
     base_failed, not kept, and its cleaned text is null where the text is.
     Rows are judged by themselves, so repeated rows stay and get equal verdicts.
+    Texts may be of any length; their windows are compared by 64-bit hashes.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "lost_chars", "base_failed", "kept", "cleaned_text"]
     docs = docs.drop(*made)

@@ -34,7 +34,7 @@ judged AS (
   SELECT r, line, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
     (NOT contains({_quoted(quality.ENDINGS)}, right(rtrim(line, {_BLANKS}), 1)) AND NOT (length(line) >= {quality.INNER_LENGTH} AND ({inner})))
     OR (regexp_matches(line, '[#*$%&|<>]|!!') AND len(regexp_extract_all(line, {_quoted(quality.SYMBOL_WORD)})) >= {quality.SYMBOL_SHARE} * len(regexp_extract_all(line, '{_WORD}+')))
-    OR (length(line) <= {quality.NAVIGATION_LENGTH} AND (regexp_matches(line, {_quoted(quality.NAVIGATION)}) OR regexp_matches(line, {_quoted("^" + quality.MARKS)})))
+    OR (length(line) <= {quality.NAVIGATION_LENGTH} AND (regexp_matches(line, {_quoted(quality.NAVIGATION.replace("(?iu:", "(?i:"))}) OR regexp_matches(line, {_quoted("^" + quality.MARKS)})))
     OR (length(line) <= {quality.BOILERPLATE_LENGTH} AND ({stock})) AS fails
   FROM lines),
 summed AS (
@@ -71,17 +71,17 @@ def license_scans() -> str:
     longest = max(len(p.split()) for p, _ in licenses.PHRASES)
     leads = ", ".join(f"lead(w, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, longest))
     plan = licenses.containment_plan({})
-    templates = ", ".join(f"({_quoted(label)}, {sorted(words)}, {least})" for label, words, least in plan)
+    templates = ", ".join(f"({k}, {_quoted(label)}, {_quoted(w)}, {len(words)}, {least}, {span})" for k, (label, words, least, span) in enumerate(plan) for w in words)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), {_AZ}) AS text FROM documents),
 worded AS (SELECT r, list_filter(regexp_split_to_array(text, '{split}'), lambda w: w <> '') AS ws FROM docs),
 placed AS (SELECT r, i, w, {leads} FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM worded)),
 found AS ({phrase}),
 based AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list_distinct(list(label))) AS labels FROM found GROUP BY r),
-templates(label, ws, least) AS (VALUES {templates}),
-blocks AS (SELECT r, list_distinct(list_filter(regexp_split_to_array(line, '{split}'), lambda w: w <> '')) AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
-near AS (SELECT r, label, len(list_intersect(b, ws))::DOUBLE / len(ws) AS score FROM blocks, templates WHERE len(list_intersect(b, ws)) >= least),
-more AS (SELECT r, max(score) AS score, list(label) AS labels FROM near GROUP BY r)
+templates(t, label, w, size, least, span) AS (VALUES {templates}),
+hits AS (SELECT r, i, t, label, placed.w, size, least, span FROM placed JOIN templates USING (w)),
+near AS (SELECT a.r, a.t, a.label, a.i, a.size, count(DISTINCT b.w) AS n FROM hits a JOIN hits b ON a.r = b.r AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.span GROUP BY ALL HAVING count(DISTINCT b.w) >= any_value(a.least)),
+more AS (SELECT r, max(n::DOUBLE / size) AS score, list(label) AS labels FROM near GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(based.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
