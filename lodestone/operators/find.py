@@ -60,6 +60,19 @@ def order_columns(spec: object, schema: T.StructType) -> list[Column]:
     return out
 
 
+#: Fixed value: the one collation, by bytes of UTF-8, which is Spark's own order of strings.
+COLLATION = "binary_utf8_v1"
+
+
+def without_collation(command: dict) -> dict:
+    """The command without its collation, which may only be the one there is."""
+    if "collation" not in command:
+        return command
+    if command["collation"] != COLLATION:
+        fail("CAP_UNSUPPORTED_FEATURE", f"collation {command['collation']!r}")
+    return {k: v for k, v in command.items() if k != "collation"}
+
+
 def position(x: object, what: str) -> int:
     if isinstance(x, bool) or not isinstance(x, int) or x < 0:
         fail("VAL_INVALID_SHAPE", f"{what} takes a nonnegative integer")

@@ -490,6 +490,35 @@ def value_order_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select(F.col("id__v").alias("c_custkey"), at.alias("at"))
 
 
+@query("SELECT c_custkey, c_name, c_acctbal, true AS same FROM customer")
+def binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in the binary form and read back, with their values and the hash of their typed content."""
+    from .functions import binary, tagged
+
+    docs = tagged.export_documents(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey")
+    back = binary.from_binary(binary.to_binary(docs))
+    again = back.withColumn("hash", F.col("content_hash"))
+    keyed = tagged.with_sidecars(again, {"_id": ("int64", "id"), "c_name": ("string", "name"), "c_acctbal": ("float64", "bal")})
+    return keyed.select(F.col("id__v").alias("c_custkey"), F.col("name__v").alias("c_name"), F.col("bal__v").alias("c_acctbal"), (F.col("error").isNull() & (F.length("hash") == 64)).alias("same"))
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey)::INTEGER AS step, r_regionkey::INTEGER AS id FROM region WHERE r_regionkey > 0")
+def path_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that a published path dictionary gives the paths of a schema, as another session recovers them."""
+    import uuid
+
+    from .sources.folders import scratch
+    from .sources.registry import PathRegistry
+
+    folder = f"{scratch(spark)}/registry-{uuid.uuid4().hex}"
+    PathRegistry(spark, folder).register(["p1", "p2"])
+    other = PathRegistry(spark, folder)
+    other.recover()
+    other.register(["p2", "p3"])
+    kept = PathRegistry(spark, folder).recover()
+    return spark.createDataFrame([(k, kept.id(f"p{k}") - 1) for k in range(1, 4)] + [(4, len(kept.paths))], "step int, id int")
+
+
 # -- conversions -----------------------------------------------------------------
 
 

@@ -26,6 +26,9 @@ from ..errors import fail
 from ..operators import find as finding
 from ..operators import pipeline, updates
 from ..operators.filters import compile_filter
+from . import folders
+from .cache import COMMANDS as CACHE
+from .cache import Cache
 
 WRITES = ("insertOne", "insertMany", "replaceOne", "updateOne", "updateMany", "deleteOne", "deleteMany")
 READS = ("find", "count", "aggregate", "explain")
@@ -96,6 +99,7 @@ class Database:
     indexes: dict[str, list[dict]] = field(default_factory=dict)
     results: dict[str, tuple[str, dict]] = field(default_factory=dict)
     keyed: tuple[str, str] | None = None
+    cache: Cache = field(default_factory=Cache)
 
     def register(self, name: str, df: DataFrame, id: tuple[str, ...] | str = "_id", ttl: str | None = None, now: dt.datetime | None = None) -> None:
         self.tables[name] = finding.Source(df, (id,) if isinstance(id, str) else id, ttl, now)
@@ -120,38 +124,15 @@ class Database:
 
     # -- snapshots -------------------------------------------------------------
 
-    def _file(self, folder: str, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def _text(self, folder: str, name: str) -> str | None:
-        fs, path = self._file(folder, name)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return folders.read_text(self.spark, f"{folder}/{name}")
 
     def _write_text(self, folder: str, name: str, text: str) -> bool:
-        """Create a file; False if it exists."""
-        fs, path = self._file(folder, name)
-        try:
-            out = fs.create(path, False)
-        except Exception:
-            return False
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+        return folders.create_text(self.spark, f"{folder}/{name}", text)
 
     def version(self, name: str) -> int:
         """The snapshot that readers see: the highest published one."""
-        fs, path = self._file(self.folders[name], "published")
-        if not fs.exists(path):
-            return 0
-        return max([int(s.getPath().getName()) for s in fs.listStatus(path)], default=0)
+        return max(map(int, folders.names(self.spark, f"{self.folders[name]}/published")), default=0)
 
     def _read_manifest(self, name: str, version: int) -> Manifest | None:
         text = self._text(self.folders[name], f"published/{version:08d}")
@@ -243,6 +224,9 @@ class Database:
         name = next(iter(command))
         if name == "createIndex":
             return self._create_index(command)
+        if name in CACHE:
+            return self.cache.run(command)
+        command = finding.without_collation(command)
         if name not in WRITES + READS:
             fail("VAL_UNKNOWN_COMMAND", name)
         if name == "explain":

@@ -23,3 +23,37 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{scratch(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    fs, at = _file(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None."""
+    fs, at = _file(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file, which only one writer can; False if it exists."""
+    fs, at = _file(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Exception:
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True

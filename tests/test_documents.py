@@ -78,6 +78,150 @@ def test_late_changes_lose(spark, tmp_path):
     assert [tuple(r) for r in other.run({"find": "c"}).collect()] == [(1, "new"), (2, "now"), (3, "c")]
 
 
+def test_digests():
+    """Published values of both algorithms."""
+    from lodestone.functions.digests import blake3, crc32c
+
+    assert crc32c([b"123456789", bytes(32), b"\xff" * 32, bytes(range(32)), b""]) == [0xE3069283, 0x8A9136AA, 0x62A8AB43, 0x46DD794E, 0]
+    counted = lambda n: bytes(k % 251 for k in range(n))
+    want = {0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", 1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213", 1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7", 1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444"}
+    assert [x.hex() for x in blake3([counted(n) for n in want])] == list(want.values())
+    sizes = [3, 64, 65, 1023, 2048, 2049, 5000, 9000]
+    assert blake3([counted(n) for n in sizes]) == [blake3([counted(n)])[0] for n in sizes]
+
+
+def document(**more):
+    base = {"_id": V.Value("uuid", bytes(16)), "z": V.literal([1, 2.5, None, {"b": 1, "a": [[], {}]}]), "s": V.literal("é"), "d": V.Value("decimal128", Decimal("-1.2E+6100")), "e": V.Value("decimal128", Decimal("1E+6144"))}
+    base |= {"bin": V.Value("binary", (0, b"\0\xff")), "t": V.Value("timestamp", -1), "day": V.Value("date", 7), "o": V.Value("objectId", bytes(12)), "v": V.vector((0.5, -1.0), "f16"), "w": V.vector((1.5,)), "n": V.NULL, "f": V.Value("float64", -0.0), "i": V.Value("int64", 5), "yes": V.literal(True)}
+    return V.Value("object", base | more)
+
+
+def test_binary_form():
+    """Round trips, the published checksums and hashes of a small document, and order that hashes don't see."""
+    from lodestone.functions import binary
+
+    v = document()
+    assert V.identical(binary.decode(binary.encode(v)), v)
+    shared = V.literal({"x": 1})
+    assert V.identical(binary.decode(binary.encode(document(p=shared, q=shared))), document(p=shared, q=shared))
+    small = {"s": V.literal(""), "_id": V.Value("uuid", bytes(16)), "n": V.NULL}
+    a, b = (binary.encode(V.Value("object", {k: small[k] for k in order})) for order in (("s", "_id", "n"), ("_id", "n", "s")))
+    assert len(a) == len(b) == 408 and (a[32:36].hex(), b[32:36].hex()) == ("126c66f2", "9798205f")
+    hashed = [binary.negotiate(x).content_hash.hex() for x in (a, b)]
+    assert hashed[0] == hashed[1] == "b3c73f825bbc1f2fecd295a9ee93bff822dae8ba50f9209e5b85fd31b928ba74"
+    words = {"1": "01000000000000000000000000004030", "0": "00000000000000000000000000004030", "-0": "000000000000000000000000000040b0", "NaN": "0000000000000000000000000000007c", "1E+6144": "000000000a5bc138938d44c64d31fe5f"}
+    assert all(binary.payload(V.Value("decimal128", Decimal(x))).hex() == raw for x, raw in words.items())
+    assert binary.assess_migration(a).storage == "plain"
+    with pytest.raises(EngineError, match="CAP_UNSUPPORTED_VERSION"):
+        binary.assess_migration(a, (1, 1))
+
+
+def test_binary_form_refuses_damage():
+    """Any changed byte, with the checksum left or mended, any cut, and what isn't canonical."""
+    from lodestone.functions import binary
+    from lodestone.functions.digests import crc32c
+
+    good = binary.encode(document())
+
+    def outcome(data):
+        (found,) = binary.decode_many([data])
+        return found.code if isinstance(found, EngineError) else "accepted"
+
+    mend = lambda d: d[:32] + crc32c([d[:32] + bytes(4) + d[36:]])[0].to_bytes(4, "little") + d[36:]
+    broken = [good[:k] + bytes([good[k] ^ 1 << k % 8]) + good[k + 1 :] for k in range(len(good))]
+    assert {outcome(d) for d in broken} <= {"DUR_CORRUPTION", "CAP_FORMAT_UNSUPPORTED", "CAP_UNSUPPORTED_VERSION"}
+    mended = [outcome(mend(d)) for k, d in enumerate(broken) if not 32 <= k < 36]
+    assert set(mended) <= {"DUR_CORRUPTION", "CAP_FORMAT_UNSUPPORTED", "CAP_UNSUPPORTED_VERSION"}
+    assert {outcome(good[:k]) for k in range(0, len(good), 7)} <= {"DUR_CORRUPTION", "CAP_FORMAT_UNSUPPORTED"}
+    assert outcome(good + b"\0") == "DUR_CORRUPTION" and outcome(None) == "CAP_FORMAT_UNSUPPORTED"
+
+
+def test_compressed_binary_form():
+    """A document with a compressed section, laid out by hand."""
+    import struct
+
+    import pyarrow as pa
+
+    from lodestone.functions import binary
+    from lodestone.functions.digests import crc32c
+
+    plain = binary.encode(V.Value("object", {"_id": V.Value("uuid", bytes(16)), "pad": V.literal("A" * 40_000)}))
+    directory = [struct.unpack_from(binary.ENTRY_FORM, plain, 64 + 32 * k) for k in range(4)]
+    bodies = [plain[e[2] : e[2] + e[3]] for e in directory]
+    codec, parts = pa.Codec("lz4_raw"), [bodies[2][k : k + 32768] for k in range(0, len(bodies[2]), 32768)]
+    small = [codec.compress(p, asbytes=True) for p in parts]
+    stream, at = struct.pack("<8sHHHBBIIII", binary.STREAM_MAGIC, 1, 32, 24, 15, 0, len(parts), len(bodies[2]), 32 + 24 * len(parts), 0), 32 + 24 * len(parts)
+    for k, (p, c) in enumerate(zip(parts, small, strict=True)):
+        stream += struct.pack("<IIIIHHI", k * 32768, len(p), at, len(c), 0, 0, 0)
+        at += len(c)
+    stored = [*bodies[:2], stream + b"".join(small), bodies[3]]
+    cursor, entries, out = 192, b"", b""
+    for k, (e, body) in enumerate(zip(directory, stored, strict=True)):
+        begin = -(-cursor // 8) * 8
+        out += bytes(begin - cursor) + body
+        entries += struct.pack(binary.ENTRY_FORM, e[0], e[1] | (k == 2), begin, len(body), e[4], e[5], int(k == 2), int(k == 2), 1, 0, 0)
+        cursor = begin + len(body)
+    foot = -(-cursor // 8) * 8
+    head = list(struct.unpack_from(binary.HEADER_FORM, plain))
+    head[5], head[6], head[9], head[13], head[14] = 1, foot + 64, 0, foot, 1
+    end = list(struct.unpack_from(binary.FOOTER_FORM, plain, len(plain) - 64))
+    end[6] = foot + 64
+    packed = struct.pack(binary.HEADER_FORM, *head) + entries + out + bytes(foot - cursor) + struct.pack(binary.FOOTER_FORM, *end)
+    packed = packed[:32] + struct.pack("<I", crc32c([packed])[0]) + packed[36:]
+    assert V.identical(binary.decode(packed), binary.decode(plain)) and binary.negotiate(packed).storage == "compressed" and len(packed) < len(plain) // 10
+    with pytest.raises(EngineError, match="DUR_CORRUPTION"):
+        binary.decode(packed[:400] + b"\x55" + packed[401:])
+
+
+def test_binary_columns(spark):
+    from lodestone.functions import binary
+
+    rows = [(tagged.dumps(document(k=V.literal(k))),) for k in range(20)] + [("{",), (None,)]
+    data = binary.to_binary(spark.createDataFrame(rows, "doc string"))
+    back = binary.from_binary(data)
+    assert sorted(r.doc for r in back.collect() if r.doc) == sorted(r[0] for r in rows[:20])
+    assert sorted(str(r.error) for r in data.collect())[-2:] == ["PAR_INVALID_JSON", "PAR_INVALID_JSON"] or [r.error for r in data.collect()].count("PAR_INVALID_JSON") == 2
+    assert [r.error for r in back.collect()].count("CAP_FORMAT_UNSUPPORTED") == 2
+
+
+def test_path_registry(spark, tmp_path):
+    from lodestone.sources.registry import PathRegistry
+
+    one, two = (PathRegistry(spark, str(tmp_path)) for _ in range(2))
+    assert one.register(["a", "a.b", "_id"]) == {"a": 2, "a.b": 3, "_id": 1} and one.register(["a"]) == {"a": 2}
+    with pytest.raises(EngineError, match="CON_WRITE_CONFLICT"):
+        two.register(["c"])
+    pinned = two.recover()
+    assert two.register(["c"]) == {"c": 4} and pinned.id("c") is None and two.pin(1) == pinned and one.recover() == two.current
+    (tmp_path / "paths" / "00000003").write_text('{"version":3,"paths":["_id","b"]}')
+    with pytest.raises(EngineError, match="DUR_CORRUPTION"):
+        one.recover()
+
+
+def test_cache(spark):
+    now = [dt.datetime(2024, 1, 1, tzinfo=dt.UTC)]
+    db = Database(spark)
+    db.cache.clock = lambda: now[0]
+    assert db.run({"cacheSet": "k", "value": {"a": [1]}, "ttlSeconds": 10}) == {"acknowledged": True}
+    assert db.run({"cacheGet": "k"}) == {"found": True, "value": V.literal({"a": [1]})}
+    assert db.run({"cacheIncr": "n", "by": 2, "ttlSeconds": 5})["value"] == V.literal(2) and db.run({"cacheIncr": "n"})["value"] == V.literal(3)
+    now[0] += dt.timedelta(seconds=5)
+    assert db.run({"cacheGet": "n"}) == {"found": False} and db.run({"cacheGet": "k"})["found"]
+    now[0] += dt.timedelta(seconds=5)
+    assert not db.run({"cacheGet": "k"})["found"]
+    for bad, code in (({"cacheSet": "k"}, "VAL_INVALID_SHAPE"), ({"cacheGet": "k", "x": 1}, "VAL_UNKNOWN_OPTION"), ({"cacheIncr": "k", "by": "a"}, "TYPE_MISMATCH"), ({"cacheSet": "k", "value": 1, "ttlSeconds": 0}, "VAL_INVALID_SHAPE")):
+        with pytest.raises(EngineError, match=code):
+            db.run(bad)
+
+
+def test_collation(spark):
+    db = Database(spark)
+    db.register("c", spark.createDataFrame([(1, "b"), (2, "É"), (3, "a")], "_id long, s string"))
+    assert [r._id for r in db.run({"find": "c", "sort": {"s": 1}, "collation": "binary_utf8_v1"}).collect()] == [3, 1, 2]
+    with pytest.raises(EngineError, match="CAP_UNSUPPORTED_FEATURE"):
+        db.run({"find": "c", "collation": {"locale": "fr"}})
+
+
 def test_operations():
     from lodestone.functions import operations as O
 
