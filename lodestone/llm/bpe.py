@@ -28,7 +28,7 @@ LETTER, NUMBER, OTHER, SPACE, BORDER = 0, 1, 2, 3, 4
 #: Lone surrogates can't occur in a text; they stand for the end of a document and, from SPECIAL on, for the special tokens.
 END, SPECIAL, MOST_SPECIAL = "\ud800", 0xD801, 2000
 #: Characters that are encoded at a time, and whose pieces are found at a time.
-CHUNK, PART = 1 << 23, 1 << 19
+CHUNK, PART = 1 << 22, 1 << 19
 MOST_WORDS = 400_000
 MOST_PAIRS = 1_000_000
 PAIR_BITS = 20
