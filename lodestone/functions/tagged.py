@@ -109,8 +109,8 @@ def check_document(v: V.Value) -> None:
             stack += [(y, depth + 1) for y in x.value]
 
 
-def _tag(c: Column, kind: T.DataType) -> Column:
-    """A typed column as tagged JSON text, in built-in functions."""
+def _tag(c: Column, kind: T.DataType, path: str | None = None) -> Column:
+    """A typed column as tagged JSON text, in built-in functions. path: where it stands in the row; None below an array."""
     from ..operators.filters import logical_type
 
     name = logical_type(kind)
@@ -131,20 +131,27 @@ def _tag(c: Column, kind: T.DataType) -> Column:
     elif name == "array":
         text = typed(F.concat(F.lit('"values":['), F.array_join(F.transform(c, lambda x: _tag(x, kind.elementType)), ","), F.lit("]")))
     elif name == "object":
-        text = typed(F.concat(F.lit('"fields":['), F.concat_ws(",", *(_named(f.name, c.getField(f.name), f.dataType) for f in kind)), F.lit("]")))
+        text = typed(F.concat(F.lit('"fields":['), F.concat_ws(",", *(_named(f, c.getField(f.name), None if path is None else f"{path}.{f.name}") for f in kind)), F.lit("]")))
     else:
         text = typed(F.concat(F.lit('"value":"'), c.cast("string"), F.lit('"')))
     return F.when(c.isNull(), F.lit('{"type":"null"}')).otherwise(text)
 
 
-def _named(name: str, c: Column, kind: T.DataType) -> Column:
-    return F.concat(F.lit(f'{{"name":{json.dumps(name, ensure_ascii=False)},"value":'), _tag(c, kind), F.lit("}"))
+def _named(field: T.StructField, c: Column, path: str | None, name: str | None = None) -> Column:
+    """A field's text; null, which concat_ws leaves out, in rows that lack the field."""
+    from .. import paths
+
+    text = F.concat(F.lit(f'{{"name":{json.dumps(name or field.name, ensure_ascii=False)},"value":'), _tag(c, field.dataType, path), F.lit("}"))
+    there = None if path is None else paths.marked(field, path)
+    return text if there is None else F.when(there, text)
 
 
 def export_documents(df: DataFrame, id: str) -> DataFrame:
-    """(doc): each row as tagged JSON, with its id first as _id. Built-in functions only; a NULL is an explicit null."""
-    fields = [_named("_id", F.col(f"`{id}`"), df.schema[id].dataType)]
-    fields += [_named(f.name, F.col(f"`{f.name}`"), f.dataType) for f in df.schema if f.name != id]
+    """(doc): each row as tagged JSON, with its id first as _id. Built-in functions only; a NULL is an explicit null, but in a row that lacks the field."""
+    from .. import paths
+
+    fields = [_named(df.schema[id], F.col(f"`{id}`"), id, "_id")]
+    fields += [_named(f, F.col(f"`{f.name}`"), f.name) for f in df.schema if f.name not in (id, paths.SEEN)]
     return df.select(F.concat(F.lit('{"type":"object","fields":['), F.concat_ws(",", *fields), F.lit("]}")).alias("doc"))
 
 

@@ -37,6 +37,10 @@ class Source:
         """Rows that have not expired at the pinned time."""
         return self.df if self.ttl is None else self.df.where(~self.expired())
 
+    def shown(self) -> DataFrame:
+        """All rows without what the collection keeps for itself."""
+        return self.df.drop(paths.SEEN)
+
     def with_rows(self, df: DataFrame) -> Source:
         return replace(self, df=df)
 
@@ -112,7 +116,7 @@ def _included(c: Column, kind: T.DataType, tree: dict) -> Column | None:
         if f.name in tree:
             inner = c.getField(f.name) if tree[f.name] is None else _included(c.getField(f.name), f.dataType, tree[f.name])
             if inner is not None:
-                fields.append(inner.alias(f.name))
+                fields.append(inner.alias(f.name, metadata=f.metadata))
     return F.when(c.isNotNull(), F.struct(*fields)) if fields else None
 
 
@@ -185,7 +189,7 @@ def find(source: Source, command: dict) -> DataFrame:
         df = df.limit(position(limit, "limit"))
     if top:
         df = df.drop("__score")
-    return project(df, command["projection"], source.id) if "projection" in command else df
+    return (project(df, command["projection"], source.id) if "projection" in command else df).drop(paths.SEEN)
 
 
 def ranked(df: DataFrame, top, ids: list[Column]) -> tuple[DataFrame, list[Column]]:

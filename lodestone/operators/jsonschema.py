@@ -59,24 +59,29 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _object(spec: dict, schema: T.StructType, root: Column | None) -> Column:
+def _object(spec: dict, schema: T.StructType, root: Column | None, path: str = "") -> Column:
+    """path: where the object stands in the row, with a dot, or None below an array."""
     from .filters import type_names
 
+    def there(name: str) -> Column:
+        found = None if path is None else paths.marked(schema[name], path + name)
+        return F.lit(True) if found is None else found
+
     parts = []
     if "type" in spec:
         parts.append(F.lit("object" in type_names(spec["type"])))
     for name in spec.get("required", []):
-        parts.append(F.lit(name in schema.names))
+        parts.append(there(name) if name in schema.names else F.lit(False))
     for name, inner in spec.get("properties", {}).items():
         if name in schema.names:  # a missing property isn't judged
             at = paths.resolve([name], schema, root)
-            parts.append(_value(inner, at.value, at.type))
+            parts.append(~there(name) | _value(inner, at.value, at.type, None if path is None else f"{path}{name}."))
     if spec.get("additionalProperties") is False:
-        parts.append(F.lit(set(schema.names) <= set(spec.get("properties", {}))))
+        parts += [~there(n) for n in schema.names if n not in spec.get("properties", {}) and n != paths.SEEN]
     return _all(parts)
 
 
-def _value(spec: dict, c: Column, kind: T.DataType) -> Column:
+def _value(spec: dict, c: Column, kind: T.DataType, path: str | None) -> Column:
     from .filters import compare, logical_type, member, of_type
 
     name = logical_type(kind)
@@ -96,8 +101,8 @@ def _value(spec: dict, c: Column, kind: T.DataType) -> Column:
         n = F.when(c.isNotNull(), F.size(c))
         parts += [judged(n >= spec["minItems"])] * ("minItems" in spec) + [judged(n <= spec["maxItems"])] * ("maxItems" in spec)
         if "items" in spec:
-            parts.append(judged(F.forall(c, lambda x: _value(spec["items"], x, kind.elementType))))
+            parts.append(judged(F.forall(c, lambda x: _value(spec["items"], x, kind.elementType, None))))
     if name == "object" and set(spec) & {"required", "properties", "additionalProperties"}:
         inner = {k: v for k, v in spec.items() if k in ("required", "properties", "additionalProperties")}
-        parts.append(F.when(c.isNull(), F.lit(True)).otherwise(_object(inner, kind, c)))
+        parts.append(F.when(c.isNull(), F.lit(True)).otherwise(_object(inner, kind, c, path)))
     return _all(parts)

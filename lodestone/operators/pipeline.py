@@ -78,7 +78,7 @@ def aggregate(source: finding.Source, command: dict) -> DataFrame:
             fail("CAP_UNSUPPORTED_FEATURE" if name in DEFERRED else "VAL_UNKNOWN_OPERATOR", name)
     hidden = {f"{HIDDEN}_{k}": c for k, c in enumerate(source.id)}
     df = source.visible().withColumns({h: F.col(f"`{c}`") for h, c in hidden.items()})
-    now = Stream(df, [(h, 1) for h in hidden], tuple(hidden))
+    now = Stream(df, [(h, 1) for h in hidden], (*hidden, *(c for c in df.columns if c == paths.SEEN)))
     for s in stages:
         (name, operand), = s.items()
         now = globals()["_" + name[1:]](now, operand)
@@ -203,7 +203,7 @@ def _project(now: Stream, spec: object) -> Stream:
     computed = {p: v for p, v in spec.items() if p not in plain}
     off = {p for p, v in plain.items() if not v}
     late: list[Column] = []
-    shape = now.df.select(*(F.col(f"`{n}`") for n in now.schema.names))
+    shape = now.df.select(*(F.col(f"`{n}`") for n in now.schema.names))  # columns that may be lacking keep their metadata
     if not computed and off and off >= set(plain) - {"_id"}:
         out = _columns(shape, plain, ())
     else:
@@ -265,9 +265,9 @@ def _columns(df: DataFrame, spec: dict, ids: tuple[str, ...]) -> list[Column]:
         if including and f.name in tree:
             inner = c if tree[f.name] is None else finding._included(c, f.dataType, tree[f.name])
             if inner is not None:
-                out.append(inner.alias(f.name))
+                out.append(inner.alias(f.name, metadata=f.metadata))
         elif not including and tree.get(f.name, {}) is not None:
-            out.append((finding._excluded(c, f.dataType, tree[f.name]) if f.name in tree else c).alias(f.name))
+            out.append((finding._excluded(c, f.dataType, tree[f.name]) if f.name in tree else c).alias(f.name, metadata=f.metadata))
     return out
 
 

@@ -128,38 +128,117 @@ def _new_value(op: str, operand: object, c: Column | None, kind: T.DataType | No
     return F.filter(c, lambda x: ~F.coalesce(compare("$eq", x, kind.elementType, v), F.lit(False)))
 
 
-def _patched(c: Column | None, kind: T.DataType | None, tree: dict, target: Column) -> Column | None:
+#: Operators that leave a value where there was none.
+CREATING = ("$set", "$setOnInsert", "$inc", "$push", "$addToSet")
+
+
+def _alias(c: Column, name: str, field: T.StructField | None, sign: str | None) -> Column:
+    metadata = (dict(field.metadata) if field is not None else {}) | ({paths.PRESENCE: sign} if sign else {})
+    return c.alias(name, metadata=metadata) if metadata else c.alias(name)
+
+
+def _patched(c: Column | None, kind: T.DataType | None, tree: dict, target: Column, path: str, signs: dict[str, str]) -> Column | None:
     """An object after the operators in the tree: name -> (operator, operand) or another tree.
 
     Rows outside the target keep their values; fields that the update creates
-    are null there, as a typed column has one shape.
+    are null there.
     """
     if kind is not None and not isinstance(kind, T.StructType):
         fail("TYPE_MISMATCH", "a path steps through a value that is no object")
-    old = {f.name: f.dataType for f in kind} if kind is not None else {}
+    old = {f.name: f for f in kind} if kind is not None else {}
     parts = []
     for name in [*old, *(n for n in tree if n not in old)]:
-        here, its = (c.getField(name), old[name]) if name in old else (None, None)
-        new = here if name not in tree else _field_after(tree[name], here, its, target)
+        here, field = (c.getField(name), old[name]) if name in old else (None, None)
+        below = f"{path}.{name}"
+        new = here if name not in tree else _field_after(tree[name], here, field, target, below, signs)
         if new is not None:
-            parts.append(new.alias(name))
+            parts.append(_alias(new, name, field, signs.get(below)))
     if not parts:
         return None
     return F.struct(*parts) if c is None else F.when(c.isNotNull() | target, F.struct(*parts))
 
 
-def _field_after(node, old: Column | None, kind: T.DataType | None, target: Column) -> Column | None:
+def _field_after(node, old: Column | None, field: T.StructField | None, target: Column, path: str, signs: dict[str, str]) -> Column | None:
+    kind = field.dataType if field is not None else None
     if isinstance(node, dict):
-        new = _patched(old, kind, node, target)
+        new = _patched(old, kind, node, target, path, signs)
         return F.when(target, new) if old is None and new is not None else new
-    new = _new_value(*node, old, kind)
+    op, operand = node
+    new = _new_value(op, operand, old, kind)
     if old is None:
         return None if new is None else F.when(target, new)
+    there = paths.marked(field, path)
+    if there is not None and op in ("$inc", "$push", "$addToSet"):  # a row that lacks the field starts from nothing
+        new = F.when(there, new).otherwise(_new_value(op, operand, None, None).cast(kind))
     return F.when(target, F.lit(None).cast(kind) if new is None else new).otherwise(old)
 
 
+def _find_field(schema: T.StructType, parts: list[str]) -> T.StructField | None:
+    kind, field = schema, None
+    for p in parts:
+        if not isinstance(kind, T.StructType) or p not in kind.names:
+            return None
+        field = kind[p]
+        kind = field.dataType
+    return field
+
+
+def _without_below(marks: Column, path: str) -> Column:
+    """The marks but those of fields below a path."""
+    return F.filter(marks, lambda m: ~F.startswith(F.substring(m, 2, 1 << 30), F.lit(path + ".")))
+
+
+def _marks(df: DataFrame, steps: list, target: Column) -> tuple[Column | None, dict[str, str]]:
+    """(which fields a row has or lacks after the steps, signs of the fields that rows may lack). None: every row has all its fields."""
+    signs: dict[str, str] = {}
+    now = paths.seen() if paths.SEEN in df.columns else F.array().cast("array<string>")
+    changed = paths.SEEN in df.columns
+    put = lambda c, mark: F.array_union(c, F.array(F.lit(mark)))
+    for op, parts, _ in steps:
+        path, field = ".".join(parts), _find_field(df.schema, parts)
+        sign = field.metadata.get(paths.PRESENCE) if field is not None else "+"
+        after = _without_below(now, path)
+        if op == "$unset":
+            if field is None:
+                continue
+            sign = sign or "-"
+            after = put(after, "-" + path) if sign == "-" else F.array_remove(after, "+" + path)
+        elif op in CREATING:
+            if sign == "+":
+                after = put(after, "+" + path)
+            elif sign == "-":
+                after = F.array_remove(after, "-" + path)
+            for k in range(1, len(parts)):  # objects on the way are there now; one that was not lacks its other fields
+                above, held = ".".join(parts[:k]), _find_field(df.schema, parts[:k])
+                if held is None:
+                    signs[above] = "+"
+                    after = put(after, "+" + above)
+                    continue
+                here = paths.resolve(parts[:k], df.schema)
+                lacks = ~here.present | here.value.isNull()
+                if held.metadata.get(paths.PRESENCE) == "+":
+                    after = put(after, "+" + above)
+                after = F.array_remove(after, "-" + above)
+                for f in held.dataType if isinstance(held.dataType, T.StructType) else ():
+                    if f.metadata.get(paths.PRESENCE) != "+" and not any(p[: k + 1] == [*parts[:k], f.name] for _, p, _ in steps):
+                        signs[f"{above}.{f.name}"] = "-"
+                        after = F.when(lacks, put(after, f"-{above}.{f.name}")).otherwise(after)
+        else:
+            continue
+        if sign:
+            signs[path] = sign
+        changed = changed or bool(sign) or bool(signs)
+        now = F.when(target, after).otherwise(now)
+    return (now if changed else None), signs
+
+
 def post_image(df: DataFrame, update: object, target: Column, ids: tuple[str, ...] = ("_id",), inserting: bool = False) -> DataFrame:
-    """df after the update of the rows where target holds. Fields that the update creates are null elsewhere; unset ones become null."""
+    """df after the update of the rows where target holds.
+
+    Fields that the update creates are null elsewhere and unset ones become
+    null; which of these nulls mean that a row has no such field is kept in
+    the column SEEN, and in the fields' metadata, which paths ask.
+    """
     steps = [s for s in validate(update, ids) if inserting or s[0] != "$setOnInsert"]
     tree: dict = {}
     for op, parts, operand in steps:
@@ -167,13 +246,15 @@ def post_image(df: DataFrame, update: object, target: Column, ids: tuple[str, ..
         for p in parts[:-1]:
             at = at.setdefault(p, {})
         at[parts[-1]] = (op, operand)
+    marks, signs = _marks(df, steps, target)
     out = []
-    for name in [*df.columns, *(n for n in tree if n not in df.columns)]:
-        old = F.col(f"`{name}`") if name in df.columns else None
+    for name in [*(c for c in df.columns if c != paths.SEEN), *(n for n in tree if n not in df.columns)]:
+        field = df.schema[name] if name in df.columns else None
+        old = F.col(f"`{name}`") if field is not None else None
         if name not in tree:
             out.append(old)
             continue
-        new = _field_after(tree[name], old, df.schema[name].dataType if old is not None else None, target)
+        new = _field_after(tree[name], old, field, target, name, signs)
         if new is not None:
-            out.append(new.alias(name))
-    return df.select(*out)
+            out.append(_alias(new, name, field, signs.get(name)))
+    return df.select(*out, *([marks.alias(paths.SEEN)] if marks is not None else []))

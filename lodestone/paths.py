@@ -14,6 +14,23 @@ from .errors import fail
 
 INDEX = re.compile(r"0|[1-9][0-9]*")
 
+#: A collection's column that lists, for a row, the declared fields that it lacks ("-path") and those created later that it has
+#: ("+path"); and the key of a field's metadata that says which of the two is asked.
+SEEN, PRESENCE = "__seen", "presence"
+
+
+def seen() -> Column:
+    return F.coalesce(F.col(SEEN), F.array().cast("array<string>"))
+
+
+def marked(field: T.StructField, path: str) -> Column | None:
+    """Whether a row has a field, or None if every row has it wherever its object is there."""
+    sign = field.metadata.get(PRESENCE)
+    if not sign:
+        return None
+    said = F.array_contains(seen(), sign + path)
+    return said if sign == "+" else ~said
+
 
 def parse(path: object) -> list[str]:
     if not isinstance(path, str) or not path:
@@ -37,6 +54,7 @@ class Resolved:
     present: Column
     one: bool = True
     always: bool = False
+    path: str | None = None
 
     @property
     def absent(self) -> bool:
@@ -55,15 +73,18 @@ def _position(part: str) -> int:
 def resolve(parts: list[str], schema: T.StructType, root: Column | None = None) -> Resolved:
     """Names step into objects; on arrays an index takes an element and a name visits the immediate objects.
 
-    A field that the schema declares is present wherever its parent is: NULL is
-    an explicit null. Undeclared fields are missing. root: a struct column to
-    start from instead of the row.
+    A field that the schema declares is present wherever its parent is, unless
+    its metadata says that rows may lack it (SEEN): NULL is an explicit null.
+    Undeclared fields are missing. root: a struct column to start from instead
+    of the row.
     """
     if parts[0] not in schema.names:
         return nowhere()
     field = schema[parts[0]]
     value = F.col(f"`{parts[0]}`") if root is None else root.getField(parts[0])
-    here = Resolved(field.dataType, value, F.lit(True) if root is None else root.isNotNull(), always=root is None)
+    there = marked(field, parts[0]) if root is None else None
+    present = root.isNotNull() if root is not None else F.lit(True) if there is None else there
+    here = Resolved(field.dataType, value, present, always=root is None and there is None, path=parts[0] if root is None else None)
     for part in parts[1:]:
         here = _step(here, part)
         if here.absent:
@@ -77,7 +98,10 @@ def _step(at: Resolved, part: str) -> Resolved:
             return nowhere()
         kind = at.type[part].dataType
         if at.one:
-            return Resolved(kind, at.value.getField(part), at.present & at.value.isNotNull())
+            path = None if at.path is None else f"{at.path}.{part}"
+            there = None if path is None else marked(at.type[part], path)
+            present = at.present & at.value.isNotNull()
+            return Resolved(kind, at.value.getField(part), present if there is None else present & there, path=path)
         return Resolved(kind, F.transform(F.filter(at.value, lambda x: x.isNotNull()), lambda x: x.getField(part)), at.present, False)
     if not isinstance(at.type, T.ArrayType):
         return nowhere()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import paths
 from .functions import columns, decimals
 from .operators import find as finding
 from .operators import pipeline, updates, vectors
@@ -59,10 +60,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import behaviours  # noqa: F401  registers more
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import behaviours  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -368,6 +373,7 @@ def update(name: str, table: str, target: dict, spec: dict, sql: str, prepare=No
         df = prepare(src.df) if prepare else src.df
         bound = finding.Source(df, src.id)
         out = updates.post_image(df, spec, F.coalesce(compile_filter(target, bound.context(), False), F.lit(False)), src.id)
+        out = out.drop(paths.SEEN)
         return shape(out) if shape else out
 
     _QUERIES[name], _SQL[name] = run, sql
@@ -402,7 +408,7 @@ def _opened(spark: SparkSession, sf_dir: str, table: str, *commands: dict, ttl:
 
 
 def _written(spark: SparkSession, sf_dir: str, table: str, *commands: dict, ttl: str | None = None) -> DataFrame:
-    return _opened(spark, sf_dir, table, *commands, ttl=ttl)[0].source(table).df
+    return _opened(spark, sf_dir, table, *commands, ttl=ttl)[0].source(table).shown()
 
 
 @query("SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment) FROM customer")
@@ -465,6 +471,22 @@ def insert_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, "region", {"insertMany": "region", "documents": [{"r_regionkey": 90, "r_name": "a"}, {"r_regionkey": 91, "r_name": "b"}]}).select("r_regionkey", "r_name")
 
 
+@query("""WITH t AS (SELECT *, CASE WHEN c_nationkey < 8 THEN 0 WHEN c_nationkey < 16 THEN 1 ELSE 2 END AS third FROM customer)
+SELECT 'unset' AS what, count(*) FILTER (third = 0) AS n FROM t UNION ALL SELECT 'null', count(*) FILTER (third = 1) FROM t UNION ALL SELECT 'created', count(*) FILTER (third = 2) FROM t UNION ALL SELECT 'not inserted', 1
+UNION ALL SELECT 'type', count(*) FILTER (third = 1) FROM t UNION ALL SELECT 'ne', count(*) FILTER (third <> 2) + 1 FROM t UNION ALL SELECT 'sorted', min(c_custkey) FILTER (third = 0) FROM t""")
+def missing_and_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After an unset, a set to null, a created field and an insert without fields, missing and null stay apart, also in another session."""
+    thirds = ({"c_nationkey": {"$lt": 8}}, {"c_nationkey": {"$gte": 8, "$lt": 16}}, {"c_nationkey": {"$gte": 16}})
+    update = lambda k, u: {"updateMany": "customer", "filter": thirds[k], "update": u}
+    db, _ = _opened(spark, sf_dir, "customer", update(0, {"$unset": {"c_name": True}}), update(1, {"$set": {"c_name": None}}), update(2, {"$set": {"extra.x": 1}}), {"insertOne": "customer", "document": {"c_custkey": -1, "c_name": "z"}})
+    count = lambda f: db.run({"count": "customer", "filter": f}).first()["n"]
+    rows = [
+        ("unset", count({"c_name": {"$exists": False}})), ("null", count({"c_name": None})), ("created", count({"extra.x": {"$exists": True}})), ("not inserted", count({"c_acctbal": {"$exists": False}})),
+        ("type", count({"c_name": {"$type": "null"}})), ("ne", count({"extra.x": {"$ne": 1}})), ("sorted", db.run({"find": "customer", "sort": {"c_name": 1}, "limit": 1}).first()["c_custkey"]),
+    ]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
 # -- documents -------------------------------------------------------------------
 
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
-import os
-import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import limits
+from .. import limits, paths
 from ..errors import fail
+from ..inputs import Inputs
 from ..operators import find as finding
 from ..operators import pipeline, updates
 from ..operators.filters import compile_filter
@@ -36,12 +35,12 @@ READS = ("find", "count", "aggregate", "explain")
 
 def uuid7(now: float | None = None) -> str:
     """A time-ordered UUID."""
-    ms = int((time.time() if now is None else now) * 1000)
-    raw = bytearray(ms.to_bytes(6, "big") + os.urandom(10))
-    raw[6], raw[8] = 0x70 | raw[6] & 0x0F, 0x80 | raw[8] & 0x3F
-    return str(uuid.UUID(bytes=bytes(raw)))
+    clock = Inputs().clock if now is None else lambda: dt.datetime.fromtimestamp(now, dt.UTC)
+    return Inputs(clock).uuid7()
 
 
+#: The column that keeps which fields a row lacks.
+SEEN_FIELDS = paths.SEEN
 #: Parts and tombstones of a manifest beyond which the next write merges them.
 MOST_DELTAS = 16
 SEQ = "__seq"
@@ -49,7 +48,8 @@ SEQ = "__seq"
 
 @dataclass
 class Manifest:
-    """What one version holds. parts, gone and marks list (folder, version that wrote it); result is the keyed result that the version's command gave."""
+    """What one version holds. parts, gone and marks list (folder, version that wrote it); base is the version that last wrote all
+    rows anew; result is the keyed result that the version's command gave."""
 
     version: int
     id: str
@@ -60,6 +60,7 @@ class Manifest:
     marks: list[str] = field(default_factory=list)
     indexes: list[dict] = field(default_factory=list)
     result: tuple[str, str, dict] | None = None
+    base: int = 0
 
     def encode(self) -> str:
         return json.dumps(vars(self) | {"schema": self.schema.jsonValue()}, default=str)
@@ -78,6 +79,35 @@ def _holds(new: T.DataType, old: T.DataType) -> bool:
     return new.simpleString() == old.simpleString()
 
 
+def _with_signs(schema: T.StructType, signs: dict[str, str], path: str = "") -> T.StructType:
+    """schema with the fields of these paths marked as ones that rows may lack."""
+    out = []
+    for f in schema:
+        at = path + f.name
+        kind = _with_signs(f.dataType, signs, at + ".") if isinstance(f.dataType, T.StructType) else f.dataType
+        metadata = dict(f.metadata or {}) | ({paths.PRESENCE: signs[at]} if at in signs else {})
+        out.append(T.StructField(f.name, kind, f.nullable, metadata))
+    return T.StructType(out)
+
+
+def _signs(schema: T.StructType, path: str = "") -> dict[str, str]:
+    out = {}
+    for f in schema:
+        if (f.metadata or {}).get(paths.PRESENCE):
+            out[path + f.name] = f.metadata[paths.PRESENCE]
+        if isinstance(f.dataType, T.StructType):
+            out |= _signs(f.dataType, f"{path}{f.name}.")
+    return out
+
+
+def _merged(old: T.StructType, new: T.StructType) -> T.StructType:
+    """The fields of both, new ones last, marked where either is."""
+    names = [*(f.name for f in old if f.name != SEEN_FIELDS), *(f.name for f in new if f.name not in old.names and f.name != SEEN_FIELDS)]
+    names += [SEEN_FIELDS] if SEEN_FIELDS in old.names or SEEN_FIELDS in new.names else []
+    fields = [(new if n in new.names and (n not in old.names or _holds(new[n].dataType, old[n].dataType)) else old)[n] for n in names]
+    return _with_signs(T.StructType(fields), _signs(old) | _signs(new))
+
+
 def _differs(new: Column, kind: T.DataType, old: Column, was: T.DataType) -> Column:
     """Whether an update changed a field; a field that it created counts unless it is null."""
     if kind.simpleString() == was.simpleString():
@@ -99,8 +129,12 @@ class Database:
     indexes: dict[str, list[dict]] = field(default_factory=dict)
     results: dict[str, tuple[str, dict]] = field(default_factory=dict)
     keyed: tuple[str, str] | None = None
+    inputs: Inputs = field(default_factory=Inputs)
     cache: Cache = field(default_factory=Cache)
 
+    def __post_init__(self) -> None:
+        self.cache.clock = lambda: self.inputs.now("cache expiry")
+
     def register(self, name: str, df: DataFrame, id: tuple[str, ...] | str = "_id", ttl: str | None = None, now: dt.datetime | None = None) -> None:
         self.tables[name] = finding.Source(df, (id,) if isinstance(id, str) else id, ttl, now)
 
@@ -173,7 +207,7 @@ class Database:
         at = (self._at(name) if base is None else base) + 1
         marks = self.manifests[name].marks if name in self.manifests else []
         part = (self._write(name, "part", df, options), at)
-        self._publish(name, Manifest(at, source.id[0], source.ttl, df.schema, [part], [], marks, self.indexes.get(name, []), self._own(result)))
+        self._publish(name, Manifest(at, source.id[0], source.ttl, df.schema, [part], [], marks, self.indexes.get(name, []), self._own(result), at))
 
     def _at(self, name: str) -> int:
         return self.manifests[name].version if name in self.manifests else 0
@@ -186,11 +220,12 @@ class Database:
         m = self.manifests[name]
         at = m.version + 1
         nxt = Manifest(
-            at, m.id, self.tables[name].ttl, schema or m.schema, m.parts + ([(part, at)] if part else []), m.gone + ([(gone, at)] if gone else []),
-            m.marks if marks is None else marks, self.indexes.get(name, []), self._own(result),
+            at, m.id, self.tables[name].ttl, _merged(m.schema, schema) if schema else m.schema, m.parts + ([(part, at)] if part else []), m.gone + ([(gone, at)] if gone else []),
+            m.marks if marks is None else marks, self.indexes.get(name, []), self._own(result), m.base,
         )
         if len(nxt.parts) + len(nxt.gone) > MOST_DELTAS:
-            nxt.parts, nxt.gone = [(self._write(name, "part", self._rows(nxt)), at)], []
+            nxt.parts, nxt.gone = [(self._write(name, "part", self._arranged(name, self._rows(nxt))), at)], []
+            nxt.base = at
         self._publish(name, nxt)
 
     # -- keyed results ---------------------------------------------------------
@@ -234,6 +269,8 @@ class Database:
 
             return explain(self, command["explain"])
         source = self.source(command[name])
+        if source.ttl is not None and source.now is None:  # the cutoff is taken once for a command
+            source = finding.Source(source.df, source.id, source.ttl, self.inputs.now("expiry cutoff"))
         if name in READS:
             return {"find": finding.find, "count": finding.count, "aggregate": pipeline.aggregate}[name](source, command)
         if command[name] not in self.folders:
@@ -275,8 +312,8 @@ class Database:
         for d in docs:
             if not isinstance(d, dict):
                 fail("VAL_INVALID_SHAPE", "a document is an object")
-            rows.append({key: uuid7()} | d if key not in d else d)
-            unknown = set(d) - set(source.df.columns)
+            rows.append({key: self.inputs.uuid7()} | d if key not in d else d)
+            unknown = set(d) - set(source.shown().columns)
             if unknown:
                 fail("VAL_SCHEMA_MISMATCH", f"the typed collection has no {sorted(unknown)[0]}")
             if rows[-1][key] is None:
@@ -284,15 +321,39 @@ class Database:
         ids = [r[key] for r in rows]
         if len(set(ids)) < len(ids):
             fail("UNQ_PRIMARY_DUPLICATE")
-        new = self.spark.createDataFrame([Row(**{c: r.get(c) for c in source.df.columns}) for r in rows], source.df.schema)
-        self._insert_rows(name, source, new, ids, result(ids))
+        self._insert_rows(name, source, self._documents(source, rows), ids, result(ids))
         return result(ids)
 
     def _insert_rows(self, name: str, source: finding.Source, new: DataFrame, ids: list, result: dict) -> None:
         if not source.df.where(F.col(f"`{source.id[0]}`").isin(ids)).isEmpty():
             fail("UNQ_PRIMARY_DUPLICATE")
-        self._unique(name, source.df.unionByName(new))
-        self._append(name, self._write(name, "part", new.coalesce(1)), None, result=result)
+        self._unique(name, source.df.unionByName(new, allowMissingColumns=True))
+        self._append(name, self._write(name, "part", new.coalesce(1)), None, new.schema, result=result)
+
+    def _documents(self, source: finding.Source, rows: list[dict]) -> DataFrame:
+        """Documents as rows; fields that some lack, at any depth of objects, are marked so."""
+        schema = T.StructType([f for f in source.df.schema if f.name != SEEN_FIELDS])
+        signs: dict[str, str] = {}
+
+        def marks(given: dict, kind: T.StructType, path: str) -> list[str]:
+            out = []
+            for f in kind:
+                at, sign = path + f.name, f.metadata.get(paths.PRESENCE)
+                if f.name in given:
+                    out += ["+" + at] if sign == "+" else []
+                    if isinstance(f.dataType, T.StructType) and isinstance(given[f.name], dict):
+                        out += marks(given[f.name], f.dataType, at + ".")
+                elif sign != "+":
+                    signs[at] = "-"
+                    out.append("-" + at)
+            return out
+
+        listed = [marks(r, schema, "") for r in rows]
+        held = [tuple(r.get(c) for c in schema.names) for r in rows]
+        if SEEN_FIELDS not in source.df.columns and not any(listed):
+            return self.spark.createDataFrame(held, schema)
+        schema = _with_signs(schema, signs).add(SEEN_FIELDS, T.ArrayType(T.StringType()))
+        return self.spark.createDataFrame([(*h, m) for h, m in zip(held, listed, strict=True)], schema)
 
     def _unique(self, name: str, df: DataFrame) -> None:
         for index in self.indexes.get(name, []):
@@ -324,13 +385,16 @@ class Database:
         outcome = lambda n: {"acknowledged": True, "matchedCount": matched, "modifiedCount": n, "upsertedCount": 0}
         if not matched:
             return outcome(0)
-        columns = source.df.columns
-        before = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__before")
+        columns = source.shown().columns
+        before = F.struct(*(F.col(f"`{c}`") for c in source.df.columns)).alias("__before")
         after = updates.post_image(source.df.where(target).select("*", before), command["update"], F.lit(True), source.id)
-        fields = [c for c in after.columns if c != "__before"]
+        fields = [c for c in after.columns if c not in ("__before", SEEN_FIELDS)]
         kinds = source.df.schema
-        tests = [_differs(F.col(f"`{c}`"), after.schema[c].dataType, F.col("__before").getField(c), kinds[c].dataType) if c in columns else F.col(f"`{c}`").isNotNull() for c in fields]
-        changed = after.where(reduce(lambda a, b: a | b, tests)).select(*(F.col(f"`{c}`") for c in fields))
+        listed = lambda c: F.array_sort(F.coalesce(c, F.array().cast("array<string>")))
+        was = F.col("__before").getField(SEEN_FIELDS) if SEEN_FIELDS in source.df.columns else F.lit(None).cast("array<string>")
+        tests = [~listed(F.col(SEEN_FIELDS)).eqNullSafe(listed(was))] if SEEN_FIELDS in after.columns else []
+        tests += [_differs(F.col(f"`{c}`"), after.schema[c].dataType, F.col("__before").getField(c), kinds[c].dataType) if c in columns else F.col(f"`{c}`").isNotNull() for c in fields]
+        changed = after.where(reduce(lambda a, b: a | b, tests)).drop("__before")
         part = self._write(name, "part", changed)
         changed = self.spark.read.schema(changed.schema).parquet(part)
         modified = changed.count()
@@ -356,10 +420,10 @@ class Database:
         """A document from the filter's equalities, then the update with its insert branch."""
         seed = {p: (x["$eq"] if isinstance(x, dict) and set(x) == {"$eq"} else x) for p, x in command.get("filter", {}).items() if not p.startswith("$") and "." not in p and (not isinstance(x, dict) or set(x) == {"$eq"})}
         (key,) = source.id
-        seed.setdefault(key, uuid7())
-        row = self.spark.createDataFrame([Row(**{c: seed.get(c) for c in source.df.columns})], source.df.schema)
-        after = updates.post_image(row, command["update"], F.lit(True), source.id, inserting=True)
-        after = after.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in source.df.schema))
+        seed.setdefault(key, self.inputs.uuid7())
+        after = updates.post_image(self._documents(source, [seed]), command["update"], F.lit(True), source.id, inserting=True)
+        kinds = {f.name: f.dataType for f in source.df.schema}
+        after = after.select(*(F.col(f"`{f.name}`").cast(kinds[f.name]).alias(f.name, metadata=f.metadata) if f.name in kinds and not _holds(f.dataType, kinds[f.name]) else F.col(f"`{f.name}`") for f in after.schema))
         result = {"acknowledged": True, "matchedCount": 0, "modifiedCount": 0, "upsertedCount": 1, "upsertedId": seed[key]}
         self._insert_rows(name, source, after, [seed[key]], result)
         return result
@@ -378,11 +442,16 @@ class Database:
             return outcome(0, 0)
         if new.get(key, found) != found:
             fail("VAL_PROTECTED_FIELD", key)
-        row = self.spark.createDataFrame([Row(**{c: ({key: found} | new).get(c) for c in source.df.columns})], source.df.schema)
-        if source.df.where(target).exceptAll(row).isEmpty():
+        unknown = set(new) - set(source.shown().columns)
+        if unknown:
+            fail("VAL_SCHEMA_MISMATCH", f"the typed collection has no {sorted(unknown)[0]}")
+        row = self._documents(source, [{key: found} | new])
+        held = source.df if SEEN_FIELDS in source.df.columns or SEEN_FIELDS not in row.columns else source.df.withColumn(SEEN_FIELDS, F.lit(None).cast("array<string>"))
+        listed = lambda df: df.withColumn(SEEN_FIELDS, F.array_sort(F.coalesce(SEEN_FIELDS, F.array().cast("array<string>")))) if SEEN_FIELDS in df.columns else df
+        if listed(held.where(target)).exceptAll(listed(row)).isEmpty():
             return outcome(1, 0)
-        self._unique(name, source.df.where(~target).unionByName(row))
-        self._append(name, self._write(name, "part", row.coalesce(1)), self._write(name, "gone", row.select(key).coalesce(1)), result=outcome(1, 1))
+        self._unique(name, source.df.where(~target).unionByName(row, allowMissingColumns=True))
+        self._append(name, self._write(name, "part", row.coalesce(1)), self._write(name, "gone", row.select(key).coalesce(1)), row.schema, result=outcome(1, 1))
         return outcome(1, 1)
 
     def _delete(self, name: str, source: finding.Source, command: dict, one: bool) -> dict:
@@ -421,12 +490,65 @@ class Database:
             self._append(name, None, None)
         return {"acknowledged": True, "index": entry}
 
+    def _keys(self, name: str) -> list[str]:
+        """The first scalar index's keys that are columns."""
+        columns = self.tables[name].df.columns
+        return next((keys for i in self.indexes.get(name, []) if "type" not in i and (keys := [k for k in i.get("keys", {}) if k in columns])), [])
+
+    def _arranged(self, name: str, df: DataFrame) -> DataFrame:
+        """df in the order of the first index, so that row groups' bounds prune scans; as it is without one."""
+        keys = [F.col(f"`{k}`") for k in self._keys(name)]
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+
     def cluster(self, name: str, *keys: str, bloom: bool = True) -> None:
         """A new snapshot in the order of keys, so that row groups' bounds, and Bloom filters for equality, prune scans of them."""
         source = self.source(name)
         df = source.df.repartitionByRange(*(F.col(f"`{k}`") for k in keys)).sortWithinPartitions(*(F.col(f"`{k}`") for k in keys))
         self._commit(name, df, options={f"parquet.bloom.filter.enabled#{k}": "true" for k in keys} if bloom else {})
 
+    def backup(self, name: str, folder: str, since: int | None = None) -> int:
+        """A copy of the pinned version in a folder, or of what came after version `since`; returns the version.
+
+        A whole copy is a collection by itself; restore() puts one and the
+        increments after it together. An older version of a collection that
+        still has its parts is opened by its number.
+        """
+        m = self.manifests[name]
+        key = T.StructType([m.schema[m.id]])
+        if since is None:
+            copied = Manifest(m.version, m.id, m.ttl, m.schema, [(self._copy(self._rows(m), folder, "part"), m.version)], indexes=m.indexes, base=m.version)
+        else:
+            newer = lambda held, schema, kind: [(self._copy(self.spark.read.schema(schema).parquet(p), folder, kind), at) for p, at in held if at > since]
+            copied = Manifest(m.version, m.id, m.ttl, m.schema, newer(m.parts, m.schema, "part"), newer(m.gone, key, "gone"), indexes=m.indexes, base=m.base)
+        if not folders.create_text(self.spark, f"{folder}/published/{m.version:08d}", copied.encode()):
+            fail("DUR_BACKUP_INVALID", f"{folder} has version {m.version}")
+        return m.version
+
+    def _copy(self, df: DataFrame, folder: str, kind: str) -> str:
+        data = f"{folder}/{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(data)
+        return data
+
+    def restore(self, name: str, folder: str, whole: str, *increments: str) -> int:
+        """A collection in a new folder from a whole backup and the increments after it, in order; returns the last one's version."""
+        found: list[Manifest] = []
+        for source in (whole, *increments):
+            version = max(map(int, folders.names(self.spark, f"{source}/published")), default=0)
+            text = folders.read_text(self.spark, f"{source}/published/{version:08d}")
+            m = Manifest.decode(text) if text else fail("DUR_RESTORE_INVALID", f"{source} is no backup")
+            if found and (m.id != found[0].id or m.version < found[-1].version) or not found and m.base != m.version:
+                fail("DUR_RESTORE_INVALID", f"{source} doesn't follow")
+            found.append(m)
+        last = found[-1]
+        # A part that was merged later than a backup holds what that one has.
+        kept = lambda held: [x for m in found for x in held(m) if x[1] >= last.base]
+        rows = self._rows(Manifest(last.version, last.id, last.ttl, last.schema, kept(lambda m: m.parts), kept(lambda m: m.gone)))
+        self.folders[name], self.indexes[name] = folder, list(last.indexes)
+        self.tables[name] = finding.Source(rows, (last.id,), last.ttl)
+        self.manifests.pop(name, None)
+        self._commit(name, rows)
+        return last.version
+
     def export(self, name: str, folder: str) -> None:
         """The pinned snapshot as typed JSON text, a document a line."""
         from ..functions.tagged import export_documents

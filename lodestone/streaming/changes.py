@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .. import paths
 from ..errors import fail
 from ..sources.collections import MOST_DELTAS, Database
 
@@ -24,7 +25,7 @@ def apply_batch(db: Database, name: str, changes: DataFrame) -> int:
     (key,) = source.id
     if not {"op", "seq", key} <= set(changes.columns):
         fail("VAL_INVALID_SHAPE", "changes have op, seq and the id")
-    columns = source.df.columns
+    columns = source.shown().columns
     last = changes.groupBy(key).agg(F.max(F.col("seq").cast("long")).alias("seq"), F.max_by(F.struct("op", *(c for c in columns if c != key)), F.col("seq").cast("long")).alias("c"))
     marks = db.manifests[name].marks
     if marks:
@@ -35,6 +36,9 @@ def apply_batch(db: Database, name: str, changes: DataFrame) -> int:
     if last.isEmpty():
         return db.version(name)
     new = last.where(F.col("c.op") == "upsert").select(*(F.col(key) if c == key else F.col(f"c.`{c}`").alias(c) for c in columns))
+    if paths.SEEN in source.df.columns:  # a change brings all its fields
+        later = [f"+{f.name}" for f in source.df.schema if f.metadata.get(paths.PRESENCE) == "+"]
+        new = new.withColumn(paths.SEEN, F.array(*(F.lit(x) for x in later)).cast("array<string>"))
     mark = db._write(name, "mark", last.select(key, "seq"))
     if len(marks) >= MOST_DELTAS:
         mark = db._write(name, "mark", db.spark.read.parquet(*marks, mark).groupBy(key).agg(F.max("seq").alias("seq")))

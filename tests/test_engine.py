@@ -399,6 +399,97 @@ def test_pages_resume_in_another_session(spark, tmp_path):
     code("VAL_INVALID_SHAPE", db.page, {"find": "c"}, 5, {"command": "x", "version": 1, "position": 0})
 
 
+def test_missing_is_not_null(spark, tmp_path):
+    """What an update unsets or hasn't made, and what an insert leaves out, is missing; what it sets to null is there."""
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.createDataFrame([(1, "a", (1, "p"), [1]), (2, None, (None, "q"), []), (3, "c", None, None)], "_id long, s string, o struct<a:long,b:string>, t array<long>"))
+    ids = lambda f: [r._id for r in db.run({"find": "c", "filter": f}).collect()]
+    run = lambda f, u: db.run({"updateMany": "c", "filter": f, "update": u})
+    assert run({"_id": 1}, {"$unset": {"s": True, "o.a": True, "gone": True}})["modifiedCount"] == 1
+    assert run({"_id": 1}, {"$unset": {"s": True}})["modifiedCount"] == 0
+    assert ids({"s": {"$exists": False}}) == [1] and ids({"s": None}) == [2] and ids({"s": {"$ne": None}}) == [1, 3] and ids({"s": {"$type": "null"}}) == [2]
+    assert ids({"o.a": {"$exists": True}}) == [2] and ids({"o.b": {"$exists": True}}) == [1, 2]
+    assert run({"_id": 1}, {"$set": {"s": None}})["modifiedCount"] == 1 and ids({"s": None}) == [1, 2]
+    run({"_id": 2}, {"$inc": {"n": 5}})
+    run({}, {"$inc": {"n": 2}})
+    assert [(r._id, r.n) for r in db.run({"find": "c"}).collect()] == [(1, 2), (2, 7), (3, 2)]
+    run({"_id": 1}, {"$unset": {"t": True}})
+    run({"_id": {"$lt": 3}}, {"$push": {"t": 9}})
+    assert [r.t for r in db.run({"find": "c"}).collect()] == [[9], [9], None]
+    run({"_id": 3}, {"$set": {"o.a": 7, "x.y.z": True}})
+    assert ids({"o.a": 7}) == [3] and ids({"o.b": {"$exists": False}}) == [3] and ids({"x.y": {"$exists": True}}) == [3] and ids({"x": {"$exists": False}}) == [1, 2]
+    db.run({"insertOne": "c", "document": {"_id": 4, "o": {"b": "r"}, "n": None}})
+    assert ids({"s": {"$exists": False}}) == [4] and ids({"o.a": {"$exists": False}}) == [1, 4] and ids({"n": None}) == [4] and ids({"x": {"$exists": False}}) == [1, 2, 4]
+    db.run({"replaceOne": "c", "filter": {"_id": 2}, "replacement": {"s": "only"}})
+    assert ids({"o": {"$exists": False}}) == [2] and ids({"n": {"$exists": False}}) == [2] and ids({"t": {"$exists": True}}) == [1, 3]
+    db.run({"updateOne": "c", "filter": {"_id": 9}, "update": {"$set": {"s": "up"}}, "upsert": True})
+    assert ids({"s": "up", "o": {"$exists": False}, "t": {"$exists": False}}) == [9]
+    other = Database(spark)
+    other.open("c", str(tmp_path / "c"))
+    count = lambda *stages: other.run({"aggregate": "c", "pipeline": list(stages)}).collect()
+    assert [tuple(r) for r in count({"$group": {"_id": {"$type": "$s"}, "n": {"$count": {}}}})] == [("missing", 1), ("null", 1), ("string", 3)]
+    assert [r._id for r in count({"$project": {"o": 1}}, {"$match": {"o.a": {"$exists": False}}})] == [1, 2, 4, 9]
+    assert [r._id for r in other.run({"find": "c", "sort": {"s": 1}}).collect()][:2] == [4, 1] and "__seen" not in other.run({"find": "c"}).columns
+    assert ids({"$jsonSchema": {"required": ["s", "n"], "properties": {"o": {"required": ["b"]}}}}) == [1]
+    other.export("c", str(tmp_path / "out"))
+    from lodestone.functions import tagged
+
+    docs = [tagged.loads(r.value).value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert {d["_id"].value: sorted(set(d) - {"_id"}) for d in docs} == {1: ["n", "o", "s", "t"], 2: ["s"], 3: ["n", "o", "s", "t", "x"], 4: ["n", "o"], 9: ["s"]}
+
+
+def test_backups(spark, tmp_path):
+    """A whole copy and two increments, the second after a merge, restored into a new folder; versions stay open by number."""
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.range(50).selectExpr("id AS _id", "id % 3 AS g"))
+    at = db.backup("c", str(tmp_path / "full"))
+    db.run({"deleteMany": "c", "filter": {"g": 1}})
+    db.run({"insertOne": "c", "document": {"_id": 100, "g": 9}})
+    one = db.backup("c", str(tmp_path / "one"), at)
+    first = [tuple(r) for r in db.run({"find": "c"}).collect()]
+    for k in range(18):
+        db.run({"updateOne": "c", "filter": {"_id": 100}, "update": {"$set": {"g": k}}})
+    db.backup("c", str(tmp_path / "two"), one)
+    other = Database(spark)
+    other.restore("r", str(tmp_path / "r1"), str(tmp_path / "full"), str(tmp_path / "one"))
+    assert [tuple(r) for r in other.run({"find": "r"}).collect()] == first
+    other.restore("s", str(tmp_path / "r2"), str(tmp_path / "full"), str(tmp_path / "one"), str(tmp_path / "two"))
+    assert other.run({"find": "s"}).collect() == db.run({"find": "c"}).collect() and db.manifests["c"].base > one
+    assert other.run({"insertOne": "s", "document": {"_id": 101, "g": 1}})["insertedCount"] == 1
+    code("DUR_BACKUP_INVALID", db.backup, "c", str(tmp_path / "two"))
+    code("DUR_RESTORE_INVALID", other.restore, "t", str(tmp_path / "r3"), str(tmp_path / "two"))
+    other.open("old", str(tmp_path / "c"), 1)
+    assert other.run({"count": "old"}).first().n == 50
+
+
+def test_inputs_can_be_repeated(spark, tmp_path):
+    from lodestone.inputs import Inputs
+
+    clock = lambda: dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    ids = []
+    for k in range(2):
+        db = Database(spark, inputs=Inputs(clock, b"seed"))
+        db.create("c", str(tmp_path / f"c{k}"), spark.createDataFrame([], "_id string, t timestamp_ntz"), ttl="t")
+        ids.append(list(db.run({"insertMany": "c", "documents": [{"t": dt.datetime(2023, 1, 1)}, {}]})["insertedIds"].values()))
+        assert db.run({"count": "c"}).first().n == 1  # one has expired by the clock that was given
+    assert ids[0] == ids[1] and len(set(ids[0])) == 2
+    assert [p for _, p in db.inputs.taken] == ["expiry cutoff", "document id", "document id", "document id", "document id", "expiry cutoff"]
+    assert Inputs().random(4, "x") != Inputs().random(4, "x") and uuid7(1) < uuid7(2)
+
+
+def test_index_order_survives_merges(spark, tmp_path):
+    db = Database(spark)
+    db.create("c", str(tmp_path / "c"), spark.range(2000).selectExpr("id AS _id", "pmod(hash(id), 1000) AS g").repartition(4))
+    db.run({"createIndex": "c", "keys": {"g": 1}})
+    for k in range(18):
+        db.run({"insertOne": "c", "document": {"_id": 5000 + k, "g": k}})
+    import pyarrow.parquet as pq
+
+    (part,) = [p for p, at in db.manifests["c"].parts if at == db.manifests["c"].base]
+    bounds = sorted((f.row_group(0).column(1).statistics.min, f.row_group(0).column(1).statistics.max) for f in (pq.ParquetFile(x).metadata for x in __import__("glob").glob(part + "/*.parquet")))
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+
 def test_ttl_in_writes(spark, tmp_path):
     now = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "a"), (2, dt.datetime(2024, 1, 3), "a"), (3, None, "a")], "_id long, t timestamp_ntz, s string")
