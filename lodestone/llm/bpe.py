@@ -27,8 +27,9 @@ WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 LETTER, NUMBER, OTHER, SPACE, BORDER = 0, 1, 2, 3, 4
 #: Lone surrogates can't occur in a text; they stand for the end of a document and, from SPECIAL on, for the special tokens.
 END, SPECIAL, MOST_SPECIAL = "\ud800", 0xD801, 2000
-#: Characters that are encoded at a time, and whose pieces are found at a time.
-CHUNK, PART = 1 << 22, 1 << 19
+#: Characters that are encoded at a time, and whose pieces are found at a time. A call has a fixed cost for its new words, so
+#: larger ones are quicker, and smaller ones leave more memory to what else a worker has held.
+CHUNK, PART = 1 << 23, 1 << 19
 MOST_WORDS = 400_000
 MOST_PAIRS = 1_000_000
 PAIR_BITS = 20
@@ -343,20 +344,20 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
-        for ids, stops in self.encode_flat(texts):
+        for ids, stops in self.encode_flat(texts, chunk=CHUNK // 2):
             begin = 0
             for stop in stops.tolist():
                 yield ids[begin:stop]
                 begin = stop
 
-    def encode_flat(self, texts: list[str | None], end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode_flat(self, texts: list[str | None], end: int | None = None, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts in a row, where each text's ids stop) for all texts in order; with `end`, that id follows each text."""
         part: list[str] = []
         size = 0
         for t in texts:
             part.append(t or "")
             size += len(part[-1])
-            if size >= CHUNK:
+            if size >= chunk:
                 yield self._encode(part, end)
                 part, size = [], 0
         if part:
