@@ -176,7 +176,7 @@ def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _mixed("agg_root_reference", lambda src: _stages({"$project": {"all": "$$ROOT"}})(src).select("_id", "all.n", F.size("all.tags").cast("long").alias("tags")), "SELECT _id, n, len(tags) AS tags FROM MIXED")
 _mixed("agg_if_null_missing", lambda src: _stages({"$project": {"a": {"$ifNull": ["$o.a", -1]}, "b": {"$ifNull": ["$gone", "$s"]}}})(src), "SELECT _id, coalesce(o.a, -1) AS a, s AS b FROM MIXED")
-_mixed("agg_fanout_reference", lambda src: _stages({"$project": {"q": "$items.q"}})(src).select("_id", F.array_join(F.transform("q", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias("q")), "SELECT _id, array_to_string(list_transform(list_filter(items, lambda i: i IS NOT NULL), lambda i: coalesce(i.q::VARCHAR, '-')), ',') AS q FROM MIXED")
+_mixed("agg_fanout_reference", lambda src: _stages({"$project": {"q": "$items.q"}})(src).select("_id", F.array_join(F.transform("q", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias("q")), "SELECT _id, nullif(array_to_string(list_transform(list_filter(items, lambda i: i IS NOT NULL), lambda i: coalesce(i.q::VARCHAR, '-')), ','), '') AS q FROM MIXED")
 _mixed("agg_zero_keys", lambda src: _stages({"$match": {"x": {"$lt": 1}}}, {"$group": {"_id": "$x", "n": {"$count": {}}}})(src), "SELECT x AS _id, count(*) AS n FROM MIXED WHERE x < 1 GROUP BY x")
 _mixed("agg_max_of_nulls", lambda src: _stages({"$group": {"_id": "$o.b", "hi": {"$max": "$n"}, "lo": {"$min": "$n"}}})(src), "SELECT o.b AS _id, max(n) AS hi, CASE WHEN bool_or(n IS NULL) THEN NULL ELSE min(n) END AS lo FROM MIXED GROUP BY o IS NULL, o.b")
 _mixed("agg_sum_decimal_digits", lambda src: _stages({"$project": {"big": {"$literal": {"$value": {"type": "decimal128", "value": "1234567890123456789012345678901234"}}}}}, {"$group": {"_id": None, "t": {"$sum": "$big"}}}, {"$project": {"_id": 0, "t": 1}})(src).select(F.col("t").cast("string").alias("t")), "SELECT '9876543120987654312098765431209872' AS t FROM MIXED LIMIT 1")

@@ -97,7 +97,8 @@ def _bound(kind: T.DataType, x: Fraction) -> tuple[object, bool] | None:
         if n < -top:
             return None
         exact = n <= top and Fraction(n, 10**scale) == x
-        return Decimal(min(n, top)).scaleb(-scale), exact
+        n = min(n, top)
+        return Decimal((int(n < 0), tuple(map(int, str(abs(n)))), -scale)), exact  # whatever the context's precision
     if n < -(2**63):
         return None
     return min(n, 2**63 - 1), n < 2**63 and n == x

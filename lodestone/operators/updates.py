@@ -32,11 +32,11 @@ def validate(update: object, ids: tuple[str, ...] = ("_id",)) -> list[tuple[str,
         if not isinstance(spec, dict) or not spec:
             fail("VAL_INVALID_SHAPE", op)
         for path, operand in spec.items():
+            if isinstance(path, str) and any(p.startswith("$") for p in path.split(".")):
+                fail("CAP_UNSUPPORTED_FEATURE", "positional paths")
             parts = paths.parse(path)
             if parts[0] in PROTECTED or parts[0] in ids:
                 fail("VAL_PROTECTED_FIELD", path)
-            if "$" in path:
-                fail("CAP_UNSUPPORTED_FEATURE", "positional paths")
             out.append((op, parts, operand))
     named = sorted(p for _, p, _ in out)
     for a, b in zip(named, named[1:], strict=False):

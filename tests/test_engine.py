@@ -241,6 +241,18 @@ def test_averages_have_34_digits(spark):
     assert run({"$gt": 4.25}) == [0, 2] and run({"$lte": 4}) == [1] and run({"$in": [4, 4.5]}) == [0, 1] and run({"$lt": Decimal("4.5")}) == [1]
 
 
+def test_long_decimal_literals_are_exact(spark):
+    """Literals of more than 28 digits, which Python's own context would round."""
+    x = Decimal("1234567890123456789012345678901234.25")
+    df = spark.createDataFrame([(1, x), (2, x + 1), (3, None)], "_id long, d decimal(38,2)")
+    src = finding.Source(df)
+    spelt = {"$value": {"type": "decimal128", "value": "1234567890123456789012345678901234"}}
+    ids = lambda f: [r._id for r in finding.find(src, {"find": "t", "filter": {"d": f}}).collect()]
+    assert ids({"$gt": spelt}) == [1, 2] and ids({"$in": [spelt]}) == [] and ids({"$lt": spelt}) == []
+    made = pipeline.aggregate(src, {"aggregate": "t", "pipeline": [{"$project": {"v": {"$literal": spelt}}}]}).first().v
+    assert made == Decimal(spelt["$value"]["value"])
+
+
 def test_decimal_sums_round_to_34_digits(spark):
     from pyspark.sql import functions as F
 
