@@ -12,12 +12,12 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -257,8 +257,11 @@ class Encoder:
         """The ids of many pieces of like lengths, four bytes each; the steps of piece() for all at once."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-size, kind="stable")
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        start = (np.cumsum(size) - size)[order]
         size, most = size[order], int(size.max())
-        data = np.frombuffer(b"".join([words[k].ljust(most, b"\0") for k in order.tolist()]), np.uint8).reshape(len(words), most).T.astype(np.int64)
+        # A word's row goes on into the next word; what lies behind its end is never looked at.
+        data = raw.take(start[None, :] + np.arange(most)[:, None], mode="clip").astype(np.int64)
         last = np.full((most + 1, len(words)), -1, np.int32)
         state, matched = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         active = np.searchsorted(-size, -np.arange(most), side="left")  # pieces longer than k come first
@@ -297,7 +300,7 @@ class Encoder:
         ids = ids[np.argsort(owner, kind="stable")].tobytes()
         stops = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
         out: list[bytes] = [b""] * len(words)
-        for k, begin, stop in zip(order.tolist(), [0, *stops], stops, strict=False):
+        for k, begin, stop in zip(order.tolist(), [0, *stops[:-1]], stops, strict=True):
             out[k] = ids[begin:stop]
         return out
 
@@ -389,17 +392,23 @@ class Encoder:
             known[special_sign(j).encode("utf-8", "surrogatepass")] = pack("I", i)
         distinct = coded.dictionary.to_pylist()
         got = list(map(known.get, distinct))
-        new = sorted((k for k, x in enumerate(got) if x is None), key=lambda k: len(distinct[k]))
-        while new:
-            top = len(distinct[new[0]]) + 16
-            if top > LONG:  # these hardly come again
-                for k in new:
+        new = np.array([k for k, x in enumerate(got) if x is None], np.int64)
+        size = pc.binary_length(coded.dictionary).to_numpy()
+        new = new[np.argsort(size[new], kind="stable")]
+        size = size[new]
+        while len(new):
+            if size[0] + 16 > LONG:  # these hardly come again
+                for k in new.tolist():
                     got[k] = self.piece(distinct[k])
                 break
-            part = new[: bisect_right(new, top, key=lambda k: len(distinct[k]))]
-            for k, ids in zip(part, self.many([distinct[k] for k in part]), strict=True):
-                got[k] = known[distinct[k]] = ids
-            new = new[len(part) :]
+            upto = int(np.searchsorted(size, size[0] + 16, side="right"))
+            part = new[:upto].tolist()
+            words = [distinct[k] for k in part]
+            found = self.many(words)
+            known.update(zip(words, found, strict=True))
+            for k, ids in zip(part, found, strict=True):
+                got[k] = ids
+            new, size = new[upto:], size[upto:]
         index = coded.indices.to_numpy()
         count = np.fromiter(map(len, got), np.int32, len(got)) >> 2
         flat = np.frombuffer(b"".join(got), np.uint32)

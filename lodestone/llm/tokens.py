@@ -66,6 +66,7 @@ class WaveletMatrix:
         if len(ids) and int(ids.max()) >> bits:
             raise ValueError(f"an id needs more than {bits} bits")
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        spare = np.empty_like(now)
         docs = _written(documents) if documents is not None else b""
         codec = pa.Codec("zstd", LEVEL)
         out = [struct.pack(HEADER, MAGIC, bits, len(ids), len(docs)), docs]
@@ -83,7 +84,10 @@ class WaveletMatrix:
             sizes = np.array([len(x) for x in parts], "<u4")
             before = (np.cumsum(ones) - ones).astype("<u4")
             out += [struct.pack("<Q", len(one) - int(ones.sum())), sizes.tobytes(), before.tobytes(), *parts]
-            now = np.concatenate([now.compress(~one), now.compress(one)])
+            zeros = len(one) - int(ones.sum())
+            np.compress(~one, now, out=spare[:zeros])
+            np.compress(one, now, out=spare[zeros:])
+            now, spare = spare, now
         return b"".join(out)
 
     def documents(self) -> pa.RecordBatch:
@@ -106,12 +110,19 @@ class WaveletMatrix:
         if not self.n:
             return np.empty(0, kind)
         order = np.arange(self.n, dtype=np.int32 if self.n < 1 << 31 else np.int64)
+        spare = np.empty_like(order)
         value, size = np.zeros(1, kind), np.array([self.n], np.int64)
         for k in range(self.bits):
-            one = np.unpackbits(np.concatenate([self._chunk(k, c) for c in range(len(self.ones_before[k]))]), count=self.n)
-            ones = np.add.reduceat(one, np.cumsum(size) - size, dtype=np.int64)
-            one = one.view(bool)
-            order = np.concatenate([order.compress(~one), order.compress(one)])
+            plane = np.concatenate([self._chunk(k, c) for c in range(len(self.ones_before[k]))])
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)])
+            # Ones before the end of each group: those of whole bytes, and of the byte that the end lies in.
+            byte, bit = np.divmod(np.cumsum(size), 8)
+            held = plane.take(byte, mode="clip") >> (8 - bit).astype(np.uint8)
+            ones = np.diff(before[byte] + np.where(bit > 0, np.bitwise_count(held), 0), prepend=0)
+            one = np.unpackbits(plane, count=self.n).view(bool)
+            np.compress(~one, order, out=spare[: self.zeros[k]])
+            np.compress(one, order, out=spare[self.zeros[k] :])
+            order, spare = spare, order
             high = kind(1 << (self.bits - 1 - k))
             value, size = np.concatenate([value, value | high]), np.concatenate([size - ones, ones])
             value, size = value[size > 0], size[size > 0]
