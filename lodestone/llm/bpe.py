@@ -347,7 +347,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
-        for ids, stops in self.encode_flat(texts, chunk=CHUNK // 2):
+        for ids, stops in self.encode_flat(texts, chunk=CHUNK // 4):
             begin = 0
             for stop in stops.tolist():
                 yield ids[begin:stop]
@@ -419,6 +419,12 @@ class Encoder:
         place += np.arange(ends[-1])
         return flat.take(place), ends[index == distinct.index(border)]
 
+    def forget(self) -> None:
+        """Give back what was kept of texts; a worker goes on with other work after its task."""
+        self.words.clear()
+        self.known_apart.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -510,6 +516,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ids_sha.append(sha(",".join(map(enc.decimal.__getitem__, ids)).encode()))
                 text_sha.append(sha(enc.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

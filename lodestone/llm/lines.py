@@ -20,6 +20,8 @@ SEGMENT_BITS = 22
 MOST_BROADCAST = 128
 #: Characters of a key that may be broadcast, if it is one of the thousand commonest.
 SHORT_KEY = 4096
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 22
 #: Groups that lines which need no filter are spread over.
 SPREAD = 4096
 
@@ -41,6 +43,18 @@ def long_keys(texts: pa.Array, least_chars: int) -> tuple[np.ndarray, np.ndarray
     return text, wide - (stops - sizes)[text], keys.filter(long)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE bytes of text, as lines and keys take several times that."""
+    for batch in batches:
+        stops = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < batch.num_rows:
+            upto = max(k + 1, int(np.searchsorted(stops, (stops[k - 1] if k else 0) + SLICE, side="right")))
+            yield batch.slice(k, upto - k)
+            k = upto
+    pa.default_memory_pool().release_unused()
+
+
 def key_hashes(keys: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, keys.cast(pa.binary()).to_pylist()), np.uint64, len(keys))
 
@@ -120,7 +134,7 @@ def _suspects(docs: DataFrame, filters: DataFrame, segments: int, least_chars: i
 
         def test(batches):
             bits = {s: np.frombuffer(b, np.uint8) for s, b in shared.value.items()}
-            for batch in batches:
+            for batch in slices(batches, 1):
                 text, line, keys = long_keys(batch.column(1), least_chars)
                 if not len(keys):
                     continue
@@ -138,7 +152,7 @@ def _suspects(docs: DataFrame, filters: DataFrame, segments: int, least_chars: i
     # A line that its own task has seen twice needs no filter, so one of very many lines isn't dealt to one segment.
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             text, line, keys = long_keys(batch.column(1), least_chars)
             if len(keys):
                 u, owner = key_hashes(keys), pa.array(text)
@@ -202,7 +216,7 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_chars: int =
     given = docs.select("doc_id", "text", tag.alias("tag"))
 
     def hashes(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             _, _, keys = long_keys(batch.column(0), least_chars)
             if len(keys):
                 # A line that stands twice in a text counts as repeated too: it is confirmed or not like any other.
