@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -104,7 +105,11 @@ def hamming_tables(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, widt
 def _classes(vectors: DataFrame, sample: int, threshold: float) -> tuple[DataFrame, dict[int, tuple[list[int], int]]]:
     """vectors (label, node, n, dim, v) with a 64-bit code each, and the tables of each dimension. Dimensions that the sample lacks get one code, and so are compared in full."""
     spark = vectors.sparkSession
-    bounded = vectors.select("dim", "v", "node").orderBy(F.xxhash64("node"), "node").limit(sample).select("dim", "v").toPandas()
+    # Under this hash lie a few more than the least `sample`, however many vectors there are; a limit would send as many rows from each task.
+    share = (sample + 6 * math.isqrt(sample) + 6) / max(1, vectors.count())
+    drawn = vectors.select("dim", "v", F.xxhash64("node").alias("h"), "node")
+    drawn = drawn if share >= 1 else drawn.where(F.col("h") < int((2 * share - 1) * 2**63))
+    bounded = drawn.toPandas().sort_values(["h", "node"]).head(sample)
     most = vectors.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n"))
     most = {r["dim"]: r["n"] for r in most.where(F.col("dim").isin([int(d) for d in bounded["dim"].unique()])).collect()}
     learned, tables = {}, {}

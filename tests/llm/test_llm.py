@@ -550,6 +550,21 @@ def test_borderline_embeddings(spark, mean):
     assert near.sum() >= got >= 0.9 * near.sum()
 
 
+def test_sample_of_many_partitions(spark):
+    """What the fit's sample sends to the driver doesn't grow with the partitions: 60 of 500 vectors within 1 MB of results."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 30_000, 1, 60).select(F.lit(1).alias("label"), F.col("id").alias("node"), F.lit(16).alias("dim"), F.array(*[F.randn(k) for k in range(16)]).alias("v"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        _, tables = embeds._classes(df, 500, embeds.THRESHOLD)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert list(tables) == [16]
+
+
 def test_rotation_is_orthogonal():
     x = np.random.default_rng(0).standard_normal((500, 12))
     _, p = embeds.learn_rotation(x, 8)
