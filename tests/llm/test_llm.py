@@ -627,6 +627,38 @@ def test_fuzzy_passages_are_found(spark):
     assert all(share >= least for share, (_, _, least) in zip(shares, kinds, strict=True)), shares
 
 
+@pytest.mark.parametrize("others", [3, 40])
+def test_fuzzy_passages_among_holders_of_their_seeds(spark, others):
+    """20 pairs share 60 words of which 6 differ; pieces of 12 words of them stand in many documents before, between and after."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    held, pairs = {}, set()
+    for k in range(20):
+        p = fresh(60)
+        q = [fresh(1)[0] if at in (9, 19, 29, 39, 49, 59) else w for at, w in enumerate(p)]
+        base = 1000 * k
+        for i in range(others):
+            scattered = [w for at in rng.sample(range(0, 60, 10), 6) for w in p[at : at + 12] + fresh(9)]
+            held |= {base + at + i: fresh(5) + scattered for at in (0, 200, 400)}
+        held |= {base + 100: fresh(40) + p + fresh(40), base + 300: fresh(30) + q + fresh(40)}
+        pairs.add((base + 300, base + 100))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in held.items()], "doc_id long, text string")
+    out = substrings.shared_passages(df).collect()
+    assert pairs <= {(r.doc_id, r.other_id) for r in out}
+
+
+def test_passage_at_a_middle_place(spark):
+    """The first document has the seeds of a passage three times, with the passage around the second."""
+    rng = random.Random(29)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    p = fresh(60)
+    q = [fresh(1)[0] if at in (9, 19, 29, 39, 49, 59) else w for at, w in enumerate(p)]
+    pieces = lambda: [w for _ in range(12) for at in (50, 20, 0, 40, 10, 30) for w in p[at : at + 9] + fresh(9)]
+    rows = [(1, " ".join(pieces() + fresh(60) + p + fresh(60) + pieces())), (2, " ".join(fresh(20) + q + fresh(20)))]
+    out = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.other_id) for r in out] == [(2, 1)]
+
+
 def test_far_passage_hides_no_near_match():
     """300 common words, 100 unlike ones, then 80 words with 2 inserted: the last stay one chain."""
     x = np.concatenate([np.arange(0, 300, 8), np.arange(400, 480, 8)])
