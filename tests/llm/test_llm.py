@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -659,6 +660,43 @@ def test_passage_at_a_middle_place(spark):
     assert [(r.doc_id, r.other_id) for r in out] == [(2, 1)]
 
 
+def _places_of_a_run(docs):
+    """(doc, words around, valid, edge) of the places of the seed of five zeros in docs, equal surroundings once."""
+    seen, out = set(), []
+    for k, words in enumerate(docs):
+        padded = np.concatenate([np.zeros(45), words, np.zeros(50)]).astype(substrings.WORD)
+        inside = np.concatenate([np.zeros(45, bool), np.ones(len(words), bool), np.zeros(50, bool)])
+        at = [i for i in range(len(words) - 4) if not words[i : i + 5].any()]
+        for i in at:
+            around, valid = padded[i : i + 95], inside[i : i + 95]
+            if (known := around.tobytes() + valid.tobytes()) not in seen:
+                seen.add(known)
+                out.append((k, around, valid, i - 1 not in at or i + 1 not in at))
+    return [np.array(c) for c in zip(*out, strict=True)]
+
+
+def test_places_of_a_very_common_seed_meet_quickly():
+    """140 documents share a run of one word, between words of their own; 200 pairs of others have 70 words with a short run, 6 unlike.
+    Looking at each pair of the 23,000 places is too slow."""
+    rng = np.random.default_rng(31)
+    fresh = lambda n: rng.integers(1, 1 << 16, n)
+    docs = [np.concatenate([fresh(45), np.zeros(150, int), fresh(45)]) for _ in range(140)]
+    for _ in range(200):
+        p = np.concatenate([fresh(20), np.zeros(30, int), fresh(20)])
+        q = p.copy()
+        q[[3, 9, 15, 53, 59, 65]] = fresh(6)
+        docs += [p, q]
+    doc, around, valid, edge = _places_of_a_run(docs)
+    assert len(doc) > 20_000
+    begin = time.perf_counter()
+    pairs = np.concatenate([np.stack(p) for p in substrings._connecting(doc, around, valid, edge, 50, 40)], axis=1)
+    assert time.perf_counter() - begin < 12
+    assert (doc[pairs[0]] < doc[pairs[1]]).all()
+    runs = substrings._equal_runs(doc, around, valid, 50)
+    group = substrings._joined(np.arange(len(docs)), np.concatenate([doc[runs], doc[pairs[0]]]), np.concatenate([doc, doc[pairs[1]]]))
+    assert group.tolist() == [0] * 140 + [k - k % 2 for k in range(140, 540)]
+
+
 def test_far_passage_hides_no_near_match():
     """300 common words, 100 unlike ones, then 80 words with 2 inserted: the last stay one chain."""
     x = np.concatenate([np.arange(0, 300, 8), np.arange(400, 480, 8)])
