@@ -7,7 +7,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,6 +29,8 @@ SPARE, LEAST_WIDTH = 1, 8
 MOST_TABLES = 400
 #: Vectors in a block.
 BLOCK_ROWS = 512
+#: Codes of a table's bucket that meet as rows, two by two; larger buckets are compared in blocks of vectors.
+MOST_PAIRED = 32
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,18 +139,98 @@ def _classes(vectors: DataFrame, sample: int, threshold: float) -> tuple[DataFra
     return vectors.mapInArrow(run, f"{fields}, code bigint"), tables
 
 
-def _near_codes(classes: DataFrame, tables: dict[int, tuple[list[int], int]]) -> DataFrame:
-    """Pairs of different codes of a label that agree in the bits of some table and differ in no more bits than linked vectors do."""
+def _meetings(classes: DataFrame, tables: dict[int, tuple[list[int], int]]) -> DataFrame:
+    """Which different codes of a label agree in the bits of some table: (label, dim, code_a, code_b) for two codes in a bucket of MOST_PAIRED
+    codes at most, if they differ in no more bits than linked vectors do; (label, dim, code_a, t, key) for each code in a larger bucket.
+
+    Two codes meet in the first table that brings them together and in no other. Buckets are read in order, so a task holds a batch and
+    MOST_PAIRED rows more, however large they are.
+    """
     found = []
-    for d, (masks, most) in sorted(tables.items()):
+    for d, (masks, _) in sorted(tables.items()):
         each = [F.struct(F.lit(k).alias("t"), F.col("code").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for k, m in enumerate(masks)]
-        keys = classes.where(F.col("dim") == d).select("label", "dim", "code", F.explode(F.array(*each)).alias("x")).select("label", "dim", "code", "x.t", "x.key")
-        a, b = keys.withColumnRenamed("code", "code_a"), keys.withColumnRenamed("code", "code_b")
-        met = a.join(b, ["label", "dim", "t", "key"]).where((F.col("code_a") < F.col("code_b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= most))
-        found.append(met.select("label", "dim", "code_a", "code_b").distinct())
+        found.append(classes.where(F.col("dim") == d).select("label", "dim", "code", F.explode(F.array(*each)).alias("x")).select("label", "dim", "x.t", "x.key", "code"))
+    kind = classes.schema["label"].dataType.simpleString()
     if not found:
-        return classes.select("label", "dim", F.col("code").alias("code_a"), F.col("code").alias("code_b")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, found)
+        return classes.select("label", "dim", F.col("code").alias("code_a"), F.col("code").alias("code_b"), F.lit(None).cast("int").alias("t"), F.lit(None).cast("long").alias("key")).where(F.lit(False))
+    keys = reduce(DataFrame.unionByName, found).repartition("label", "dim", "t", "key").sortWithinPartitions("key", "t", "dim", "label")
+
+    def paired(rows: pa.Table, size: np.ndarray, left: np.ndarray) -> pa.Table:
+        """Pairs within runs; of a row, size is its run's and left counts the rows after it in the run."""
+        dim, t, code = (rows[c].to_numpy() for c in ("dim", "t", "code"))
+        firsts, seconds = [], []
+        at = np.flatnonzero((size <= MOST_PAIRED) & (left > 0))
+        for step in range(1, MOST_PAIRED):
+            at = at[left[at] >= step]
+            if not len(at):
+                break
+            firsts.append(at)
+            seconds.append(at + step)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
+        differ = (code[a] ^ code[b]).view(np.uint64)
+        good = np.zeros(len(a), bool)
+        for d in np.unique(dim[a]).tolist():
+            masks, most = tables[d]
+            here = np.flatnonzero((dim[a] == d) & (np.bitwise_count(differ) <= most))
+            good[here[_first_met(differ[here], t[a][here], masks)]] = True
+        a, b = a[good], b[good]
+        a, b = np.where(code[a] < code[b], a, b), np.where(code[a] < code[b], b, a)
+        nothing = lambda kind: pa.nulls(len(a), kind)
+        return pa.table([*(rows[c].take(pa.array(a)) for c in ("label", "dim", "code")), pa.array(code[b]), nothing(pa.int32()), nothing(pa.int64())], OUT)
+
+    def marked(rows: pa.Table) -> pa.Table:
+        return pa.table([rows["label"], rows["dim"], rows["code"], pa.nulls(len(rows), pa.int64()), rows["t"], rows["key"]], OUT)
+
+    def run(batches):
+        held, large = None, None  # the open run, if it is small; one row of it, if it is large
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not len(rows):
+                continue
+            before = held if held is not None else large
+            rows = (pa.concat_tables([before, rows]) if before is not None else rows).combine_chunks()
+            changed = np.zeros(len(rows) - 1, bool)
+            for c in ("key", "t", "dim", "label"):
+                changed |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, len(rows) - 1)).to_numpy()
+            start = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            size = np.diff(np.concatenate([start, [len(rows)]]))
+            was_large = large is not None
+            many = size > MOST_PAIRED
+            many[0] |= was_large
+            open_large = bool(many[-1])
+            end = len(rows) if open_large else int(start[-1])
+            held, large = (None, rows.slice(len(rows) - 1)) if open_large else (rows.slice(end), None)
+            of = np.repeat(np.arange(len(start)), size)
+            is_many = many[of]
+            if was_large:
+                is_many[0] = False  # went out with the batch before
+            yield from marked(rows.filter(pa.array(is_many))).to_batches()
+            shown = np.where(many[of], MOST_PAIRED + 1, size[of])
+            left = (start + size - 1)[of] - np.arange(len(rows))
+            yield from paired(rows.slice(0, end), shown[:end], left[:end]).to_batches()
+        if held is not None:
+            n = len(held)
+            yield from paired(held.combine_chunks(), np.full(n, n), np.arange(n)[::-1]).to_batches()
+
+    OUT = ["label", "dim", "code_a", "code_b", "t", "key"]
+    return keys.mapInArrow(run, f"label {kind}, dim int, code_a bigint, code_b bigint, t int, key bigint")
+
+
+def _first_met(differ: np.ndarray, t: np.ndarray | int, masks: list[int]) -> np.ndarray:
+    """Places of the differences that no table before t leaves alike."""
+    t, at = np.broadcast_to(t, differ.shape), np.arange(len(differ))
+    for k in range(int(t.max()) if len(t) else 0):
+        at = at[(k >= t[at]) | (differ[at] & np.uint64(masks[k]) != 0)]
+    return at
+
+
+def _bucket_blocks(marks: DataFrame, coded: DataFrame) -> DataFrame:
+    """(label, dim, t, key, chunk, nodes, ns, codes, vs): the nodes of large buckets in blocks, in the order of their codes."""
+    bucket = ["label", "dim", "t", "key"]
+    members = marks.select(*bucket, F.col("code_a").alias("code")).hint("merge").join(coded.select("label", "dim", "code", "node", "n", "v"), ["label", "dim", "code"])
+    place = F.row_number().over(W.partitionBy(*bucket).orderBy("code", "node"))
+    members = members.withColumn("chunk", F.floor((place - 1) / F.lit(BLOCK_ROWS)).cast("int"))
+    return members.groupBy(*bucket, "chunk").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("node", "n", "code", "v")))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = FIT_SAMPLE) -> DataFrame:
@@ -158,8 +242,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     dimensions. n_links counts all other rows linked, repeated rows included.
     component_id is the least vec_id reachable; without links it is the row's
     own. Equal vectors are one node; nodes with one code are compared block by
-    block, and so are those whose codes the Hamming tables bring together, so
-    no pair of vectors is ever a row. Every link returned is exact; the tables
+    block, and so are those that a large bucket of a Hamming table brings
+    together; only codes of small buckets meet as rows. Every link returned is exact; the tables
     may miss a link whose codes lie far apart.
     """
     node = F.xxhash64("label", "embedding")
@@ -170,18 +254,49 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     same = ["label", "dim", "code"]
     classes = cut(coded.groupBy(*same).agg(F.count("*").alias("members")))
     itself = classes.where("members > 1").select("label", "dim", F.col("code").alias("code_a"), F.col("code").alias("code_b"))
-    pairs = cut(itself.unionByName(_near_codes(classes, tables)))
+    # Sizes of files say little of such rows: none of these joins may send a side to all tasks.
+    meetings = cut(_meetings(classes, tables))
+    pairs = itself.unionByName(meetings.where("t is null").select("label", "dim", "code_a", "code_b"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(BLOCK_ROWS))).cast("int")
     blocks = coded.join(classes, same).groupBy(*same, chunk.alias("chunk")).agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"), F.collect_list("v").alias("vs"))
     blocks = cut(blocks)
     side = lambda s: blocks.select("label", "dim", *(F.col(c).alias(f"{c}_{s}") for c in ("code", "chunk", "nodes", "ns", "vs")))
-    met = pairs.join(side("a"), ["label", "dim", "code_a"]).join(side("b"), ["label", "dim", "code_b"]).where("code_a < code_b or chunk_a <= chunk_b")
+    met = pairs.hint("merge").join(side("a"), ["label", "dim", "code_a"]).hint("merge").join(side("b"), ["label", "dim", "code_b"]).where("code_a < code_b or chunk_a <= chunk_b")
+    no_codes = F.lit(None).cast("array<bigint>")
+    met = met.select("nodes_a", "ns_a", "vs_a", "nodes_b", "ns_b", "vs_b", F.expr("code_a = code_b and chunk_a = chunk_b").alias("own"), "dim", F.lit(None).cast("int").alias("t"), no_codes.alias("codes_a"), no_codes.alias("codes_b"))
+    large = cut(_bucket_blocks(meetings.where("t is not null"), coded))
+    part = lambda s: large.select("label", "dim", "t", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "nodes", "ns", "vs", "codes")))
+    both = part("a").hint("merge").join(part("b"), ["label", "dim", "t", "key"]).where("chunk_a <= chunk_b")
+    met = met.unionByName(both.select("nodes_a", "ns_a", "vs_a", "nodes_b", "ns_b", "vs_b", F.expr("chunk_a = chunk_b").alias("own"), "dim", "t", "codes_a", "codes_b"))
+
+    def others(codes: np.ndarray, codes_b: np.ndarray, near: np.ndarray, t: int, masks: list[int]) -> np.ndarray:
+        """Of near pairs, those of different codes that no table before t brings together."""
+        a, b = np.nonzero(near)
+        differ = codes[a] ^ codes_b[b]
+        at = _first_met(differ, t, masks)
+        at = at[differ[at] != 0]
+        out = np.zeros_like(near)
+        out[a[at], b[at]] = True
+        return out
+
+    def alike(codes: np.ndarray, t: int, masks: list[int]) -> bool:
+        """Whether all codes are one or meet in one table before t."""
+        differ = int(np.bitwise_or.reduce(codes) ^ np.bitwise_and.reduce(codes))
+        return not differ or any(not differ & m for m in masks[:t])
 
     def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 (ids, n, u), (ids_b, n_b, u_b) = ((np.array(batch.column(i)[k].as_py(), np.int64), np.array(batch.column(i + 1)[k].as_py(), np.int64), _unit(_matrix(batch.column(i + 2)[k].values))) for i in (0, 3))
+                t = batch.column(8)[k].as_py()
+                if t is not None:
+                    masks = tables[batch.column(7)[k].as_py()][0]
+                    codes, codes_b = (np.array(batch.column(i)[k].as_py(), np.int64).view(np.uint64) for i in (9, 10))
+                    if alike(np.concatenate([codes, codes_b]), t, masks):
+                        continue
                 near = u @ u_b.T >= threshold
+                if t is not None:
+                    near = others(codes, codes_b, near, t, masks)
                 if batch.column(6)[k].as_py():  # a block with itself: each pair stands on both sides
                     np.fill_diagonal(near, False)
                     found = [(ids, near @ n_b)]
@@ -196,7 +311,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
                     [pa.array(np.concatenate([node[some], hub])), pa.array(np.concatenate([links[some], 0 * hub])), pa.array(np.concatenate([node[some], spoke]))], ["node", "links", "other"]
                 )
 
-    met = met.select("nodes_a", "ns_a", "vs_a", "nodes_b", "ns_b", "vs_b", F.expr("code_a = code_b and chunk_a = chunk_b").alias("own"))
     found = cut(met.repartition(F.xxhash64("nodes_a", "nodes_b")).mapInArrow(compare, "node bigint, links bigint, other bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -551,6 +551,29 @@ def test_borderline_embeddings(spark, mean):
     assert near.sum() >= got >= 0.9 * near.sum()
 
 
+def test_embedding_buckets(spark, monkeypatch):
+    """Near copies that differ in their codes meet in blocks: no table has a row for each two of them, and no side of keys goes to all tasks."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(np.concatenate([unit(rng.standard_normal((500, 64))), unit(rng.standard_normal((1, 64))) + 0.012 * rng.standard_normal((1100, 64))]))
+    near = x @ x.T >= embeds.THRESHOLD
+    np.fill_diagonal(near, False)
+    stored = []
+
+    def cut(df):
+        stored.append((df._jdf.queryExecution().executedPlan().toString(), out := real(df), out.count()))
+        return out
+
+    real = embeds.cut
+    monkeypatch.setattr(embeds, "cut", cut)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeds.near_vectors(df).collect()}
+    assert [got[k][0] for k in range(len(x))] == near.sum(1).tolist() and near.sum() > 1_000_000
+    assert {got[k][1] for k in range(500, len(x))} == {500}
+    assert max(n for _, _, n in stored) < 100 * len(x)
+    assert not any("Generate" in plan and "Broadcast" in plan for plan, _, _ in stored)
+
+
 def test_sample_of_many_partitions(spark):
     """What the fit's sample sends to the driver doesn't grow with the partitions: 60 of 500 vectors within 1 MB of results."""
     from pyspark.sql import functions as F
