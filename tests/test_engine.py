@@ -193,6 +193,26 @@ def test_find_order_and_projection(source, data):
     assert finding.count(source, {"count": "t", "skip": 50, "limit": 100}).first().n == 10
 
 
+def test_positions(spark, source, data, monkeypatch):
+    """$skip and $limit as one range of positions, in the few best rows or in rows stored in order; no task gets all rows."""
+    by_n = sorted(range(60), key=lambda k: (-(data[k][1] or 0) if data[k][1] is not None else 1, k))
+    run = lambda *stages: pipeline.aggregate(source, {"aggregate": "t", "pipeline": [{"$sort": {"n": -1}}, *stages]})
+    cases = [
+        ([("$skip", 7)], 7, 60), ([("$skip", 2), ("$limit", 9)], 2, 11), ([("$limit", 9), ("$skip", 2)], 2, 9), ([("$skip", 3), ("$skip", 4), ("$limit", 30), ("$limit", 12)], 7, 19),
+        ([("$limit", 4), ("$skip", 9)], 0, 0), ([("$skip", 60)], 60, 60), ([("$skip", 59), ("$limit", 2**40)], 59, 60), ([("$limit", 0)], 0, 0), ([("$skip", 0)], 0, 60), ([("$limit", 55)], 0, 55),
+    ]
+    for most in (finding.MOST_KEPT, 5):
+        monkeypatch.setattr(finding, "MOST_KEPT", most)
+        for stages, begin, end in cases:
+            assert [r._id for r in run(*({k: n} for k, n in stages)).collect()] == by_n[begin:end], (most, stages)
+        for skip, limit in ((7, None), (58, 9), (3, 50)):
+            command = {"find": "t", "sort": {"n": -1}, "skip": skip} | ({} if limit is None else {"limit": limit})
+            assert [r._id for r in finding.find(source, command).collect()] == by_n[skip : 60 if limit is None else skip + limit]
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (run({"$skip": 7}), run({"$skip": 2}, {"$limit": 9}), finding.find(source, {"find": "t", "skip": 7})):
+        assert "GlobalLimit" not in shown(df) and "SinglePartition" not in shown(df)
+
+
 def test_pipeline(source, data):
     run = lambda *stages: pipeline.aggregate(source, {"aggregate": "t", "pipeline": list(stages)})
     groups = run({"$group": {"_id": "$n", "c": {"$count": {}}, "m": {"$min": "$s"}, "t": {"$sum": "$n"}, "a": {"$avg": "$d"}}})
