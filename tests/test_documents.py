@@ -271,3 +271,15 @@ def test_row_errors_become_engine_errors(spark):
         df.collect()
     assert from_spark(e.value).code == "TYPE_MISMATCH" and CATEGORY["DUR_IO"] == "durability"
     assert from_spark(ValueError("x")).args == ("x",)
+
+
+def test_documents_are_dealt(spark, tmp_path):
+    """A table that is read as one part is worked on by all cores, and names and hashes take time in proportion to a batch."""
+    from lodestone import queries
+
+    spark.range(0, 4000, 1, 1).selectExpr("id c_custkey", "concat('n', id) c_name", "1 c_nationkey", "id / 4D c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("binary_round_trip", "document_sidecar", "value_order_key"):
+        plan = queries.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert f"RoundRobinPartitioning({tagged.DEALT * spark.sparkContext.defaultParallelism})" in plan, name
+    out = queries.queries()["binary_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted((r.c_custkey, r.c_name, r.c_acctbal, r.same) for r in out) == [(k, f"n{k}", k / 4, True) for k in range(4000)]
